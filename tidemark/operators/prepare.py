@@ -45,30 +45,34 @@ class Preparation:
         plain = [n for n in self.features if n not in self.categories]
         return plain + [f"{n}_{v}" for n in self.features if n in self.categories for v in self.categories[n]]
 
-    def apply(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        """Matrix columns (as doubles) next to the ``keep`` columns: a projection."""
+    def _matrix(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+        """``_keep0 …`` and ``_f0 …``: one projection, whatever names the table has."""
         require_columns(df, self.features, "Feature columns")
         held = df.select(*[c(n).alias(f"_keep{i}") for i, n in enumerate(keep)], *[c(n) for n in self.features])
         filled = apply_fill(held, {n: v for n, v in self.fills.items() if n not in self.categories})
         cells = []
         for n in self.features:
             if n not in self.categories:
-                cells.append(c(n).cast("double").alias(n))
+                cells.append(c(n).cast("double"))
         for n in self.features:
             if n in self.categories:
                 text = F.coalesce(c(n).cast("string"), F.lit(MISSING_CATEGORY))
-                cells += [(text == v).cast("double").alias(f"{n}_{v}") for v in self.categories[n]]
-        made = filled.select(*[F.col(f"_keep{i}") for i in range(len(keep))], *cells)
-        made = apply_scale(made, self.scaling)
-        return made.withColumnsRenamed({f"_keep{i}": n for i, n in enumerate(keep)})
+                cells += [(text == v).cast("double") for v in self.categories[n]]
+        made = filled.select(*[F.col(f"_keep{i}") for i in range(len(keep))], *[x.alias(f"_f{i}") for i, x in enumerate(cells)])
+        names = {n: f"_f{i}" for i, n in enumerate(self.columns)}
+        return apply_scale(made, {names[n]: v for n, v in self.scaling.items()})
+
+    def apply(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        """Matrix columns (as doubles) next to the ``keep`` columns."""
+        made = self._matrix(df, keep)
+        return made.toDF(*keep, *self.columns)
 
     def vectors(self, df: DataFrame, keep: Sequence[str] = (), name: str = "features") -> DataFrame:
         """The matrix as one vector column; missing or non-finite cells are an error."""
-        renamed = {n: f"_f{i}" for i, n in enumerate(self.columns)}
-        matrix = self.apply(df, [f for f in keep])
-        cells = matrix.select(*[c(n) for n in keep], *[c(n).alias(a) for n, a in renamed.items()])
-        out = VectorAssembler(inputCols=list(renamed.values()), outputCol=name, handleInvalid="error").transform(cells)
-        return out.select(*[c(n) for n in keep], c(name))
+        made = self._matrix(df, keep)
+        cells = [f"_f{i}" for i in range(len(self.columns))]
+        out = VectorAssembler(inputCols=cells, outputCol="_vector", handleInvalid="error").transform(made)
+        return out.select(*[F.col(f"_keep{i}") for i in range(len(keep))], "_vector").toDF(*keep, name)
 
     def to_dict(self) -> dict[str, Any]:
         return {
