@@ -21,13 +21,6 @@ def read_packets(spark: SparkSession, path: str, max_files: int | None = None) -
     return reader.load(path)
 
 
-def _json_kind(text: Column) -> Column:
-    """What a text is as strict JSON: an object, an array of objects, something else, or no JSON."""
-    value = F.try_parse_json(text)
-    schema = F.schema_of_variant(value)
-    return F.when(value.isNull(), "none").when(schema.startswith("OBJECT"), "object").when(schema.startswith("ARRAY"), "array").otherwise("other")
-
-
 def parse_packets(packets: DataFrame, value: str = "value") -> DataFrame:
     """Add ``samples`` (array of field maps), ``kinds`` (type of each field) and ``error``.
 
@@ -35,51 +28,56 @@ def parse_packets(packets: DataFrame, value: str = "value") -> DataFrame:
     separated by ; or ,. Anything else is invalid: ``samples`` is NULL and
     ``error`` says why. Field values stay text until a schema is applied.
     """
-    text = F.trim(F.col(value).cast("string"))
-    text = F.regexp_replace(text, r"^\s+|\s+$", "")
-    kind = _json_kind(text)
-    variant = F.try_parse_json(text)
-    fields = lambda v: F.transform_values(
-        F.try_variant_get(v, "$", "map<string,variant>"),
-        lambda _, x: F.try_variant_get(x, "$", "string"),
+    # each stage is a projection of its own, so that a packet is parsed once
+    text = F.regexp_replace(F.col(value).cast("string"), r"^\s+|\s+$", "")
+    stage = packets.withColumn("_text", F.coalesce(text, F.lit("")))
+    stage = stage.withColumn("_json", F.try_parse_json("_text"))
+    stage = stage.withColumn("_shape", F.schema_of_variant("_json"))
+    kind = (
+        F.when(F.col("_json").isNull(), "none").when(F.startswith("_shape", F.lit("OBJECT")), "object")
+        .when(F.startswith("_shape", F.lit("ARRAY")), "array").otherwise("other")
     )
-    typed = lambda v: F.transform_values(
-        F.try_variant_get(v, "$", "map<string,variant>"), lambda _, x: _variant_kind(x)
+    one = F.when(kind == "object", F.array("_json")).when(kind == "array", F.try_variant_get("_json", "$", "array<variant>"))
+    tokens = F.filter(F.transform(F.split(F.replace("_text", F.lit(";"), F.lit(",")), ","), lambda t: F.trim(t)), lambda t: t != "")
+    pairs = F.transform(
+        F.when(kind == "none", tokens),
+        lambda t: F.struct(
+            F.trim(F.substring_index(t, "=", 1)).alias("key"), F.trim(F.substring(t, F.locate("=", t) + 1, F.length(t))).alias("value"),
+            F.contains(t, F.lit("=")).alias("split"),
+        ),
     )
-    items = F.try_variant_get(variant, "$", "array<variant>")
-    all_objects = F.forall(items, lambda v: F.schema_of_variant(v).startswith("OBJECT"))
-    tokens = F.filter(F.transform(F.split(F.replace(text, F.lit(";"), F.lit(",")), ","), lambda t: F.trim(t)), lambda t: t != "")
-    no_equals = F.exists(tokens, lambda t: ~F.contains(t, F.lit("=")))
-    keys = F.transform(tokens, lambda t: F.trim(F.substring_index(t, "=", 1)))
-    values = F.transform(tokens, lambda t: F.trim(F.substring(t, F.locate("=", t) + 1, F.length(t))))
-    no_key = F.exists(keys, lambda k: k == "")
-    # a repeated key keeps its last value
-    entries = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), v.alias("value")))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(keys, i + 2, F.size(keys)), lambda k: k == e["key"]))
-    pairs = F.map_from_entries(last)
-    plain = F.transform_values(pairs, lambda _, v: F.when(coerced_kind(v) == "boolean", F.lower(v)).when(coerced_kind(v) != "null", v))
+    stage = stage.withColumns({"_kind": kind, "_items": one, "_pairs": pairs})
+    all_objects = F.forall("_items", lambda v: F.schema_of_variant(v).startswith("OBJECT"))
+    shape_error = "packet must be a JSON object, a list of JSON objects, or key=value pairs"
     error = (
-        F.when(F.coalesce(text, F.lit("")) == "", "empty packet")
-        .when(kind == "object", F.lit(None))
-        .when((kind == "array") & all_objects, F.lit(None))
-        .when(kind.isin("array", "other"), "packet must be a JSON object, a list of JSON objects, or key=value pairs")
-        .when(no_equals, "custom packets must use key=value pairs separated by semicolons")
-        .when(no_key, "packet contains an empty field name")
-        .when(F.size(tokens) == 0, "no fields found in packet")
+        F.when(F.col("_text") == "", "empty packet")
+        .when(F.col("_kind") == "other", shape_error)
+        .when((F.col("_kind") == "array") & ~all_objects, shape_error)
+        .when(F.col("_kind") != "none", F.lit(None))
+        .when(F.exists("_pairs", lambda p: ~p["split"]), "custom packets must use key=value pairs separated by semicolons")
+        .when(F.exists("_pairs", lambda p: p["key"] == ""), "packet contains an empty field name")
+        .when(F.size("_pairs") == 0, "no fields found in packet")
     )
-    samples = (
-        F.when(kind == "object", F.array(fields(variant)))
-        .when(kind == "array", F.transform(items, fields))
-        .otherwise(F.array(plain))
+    # a repeated key keeps its last value
+    last = F.filter("_pairs", lambda e, i: ~F.exists(F.slice("_pairs", i + 2, F.size("_pairs")), lambda p: p["key"] == e["key"]))
+    typed = F.map_from_entries(
+        F.transform(last, lambda e: F.struct(e["key"].alias("key"), F.struct(e["value"].alias("v"), coerced_kind(e["value"]).alias("k")).alias("value")))
     )
-    kinds = (
-        F.when(kind == "object", F.array(typed(variant)))
-        .when(kind == "array", F.transform(items, typed))
-        .otherwise(F.array(F.transform_values(pairs, lambda _, v: coerced_kind(v))))
+    plain = F.transform_values(
+        typed, lambda _, s: F.when(s["k"] == "boolean", F.lower(s["v"])).when(s["k"] != "null", s["v"])
     )
-    marked = packets.withColumn("error", error)
+    stage = stage.withColumn("error", error)
     ok = F.col("error").isNull()
-    return marked.withColumns({"samples": F.when(ok, samples), "kinds": F.when(ok, kinds)})
+    objects = F.transform("_items", lambda v: F.try_variant_get(v, "$", "map<string,variant>"))
+    stage = stage.withColumns({"_objects": F.when(ok, objects), "_typed": F.when(ok, typed), "_plain": F.when(ok, plain)})
+    samples = F.coalesce(
+        F.transform("_objects", lambda m: F.transform_values(m, lambda _, x: F.try_variant_get(x, "$", "string"))), F.when(F.col("_plain").isNotNull(), F.array("_plain"))
+    )
+    kinds = F.coalesce(
+        F.transform("_objects", lambda m: F.transform_values(m, lambda _, x: _variant_kind(x))),
+        F.when(F.col("_typed").isNotNull(), F.array(F.transform_values("_typed", lambda _, s: s["k"]))),
+    )
+    return stage.withColumns({"samples": F.when(ok, samples), "kinds": F.when(ok, kinds)}).select(*packets.columns, "error", "samples", "kinds")
 
 
 def _variant_kind(x: Column) -> Column:
@@ -91,13 +89,18 @@ def _variant_kind(x: Column) -> Column:
 
 
 def valid_samples(parsed: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """One row per sample with its field map and its position in the packet."""
-    return parsed.filter("error IS NULL").select(*keep, F.posexplode("samples").alias("position", "fields"))
+    """One row per sample with its field map and its position in the packet.
+
+    The outer explode comes before the filter: a filter on the parsed columns
+    would be pushed down to the scan and parse every packet a second time.
+    """
+    return parsed.select(*keep, F.posexplode_outer("samples").alias("position", "fields")).filter("position IS NOT NULL")
 
 
 def dead_letters(parsed: DataFrame, value: str = "value", keep: Sequence[str] = ()) -> DataFrame:
     """Invalid packets with the reason."""
-    return parsed.filter("error IS NOT NULL").select(*keep, value, "error")
+    reason = F.explode_outer(F.when(F.col("error").isNotNull(), F.array("error")))
+    return parsed.select(*keep, value, reason.alias("error")).filter("error IS NOT NULL")
 
 
 def packet_counts(parsed: DataFrame) -> DataFrame:
