@@ -12,6 +12,7 @@ from tidemark.plans.metric import Metric, block_join, build_cells, empty, matrix
 from tidemark.plans.ordered import with_row_id
 from tidemark.plans.session import materialise
 
+FINE = 4  # core points are grouped by cells this much smaller than eps allows
 MICRO_DIMENSIONS = 16  # beyond this a grid cell hardly ever holds two points
 METRICS = ("euclidean", "manhattan", "chebyshev", "minkowski", "cosine", "l1", "l2")
 
@@ -41,6 +42,46 @@ def _local_forest(u: np.ndarray, v: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"u": nodes[moved], "v": nodes[root[moved]]})
 
 
+def _link(points: DataFrame, measure: Metric, eps: float) -> DataFrame:
+    """Spanning edges (u, v) between the nodes of points (id, x, node) within ``eps``."""
+    cells = build_cells(points.select("id", "x", "node"), measure)
+    asks = cells.points.select(F.col("id").alias("qid"), "x", F.col("node").alias("qnode"), F.col("cell").alias("home"))
+
+    def link(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(p) or not len(q):
+            return empty(["u", "v"])
+        x, node, y, qnode = matrix(p["x"]), p["node"].to_numpy(), matrix(q["x"]), q["qnode"].to_numpy()
+        found = []
+        for s in strips(len(y)):
+            i, j = np.nonzero(measure(y[s], x) <= eps)
+            a, b = qnode[s][i], node[j]
+            apart = a != b
+            if apart.any():
+                found.append(np.unique(np.stack([a[apart], b[apart]]), axis=1))
+        if not found:
+            return empty(["u", "v"])
+        edges = np.unique(np.concatenate(found, axis=1), axis=1)
+        return _local_forest(edges[0], edges[1])
+
+    routed = visits(asks, cells, measure, eps, own="upper", home="home")
+    return materialise(block_join(cells, routed, link, "u long, v long"), "links")
+
+
+def _close_groups(points: DataFrame, measure: Metric, reach: float) -> DataFrame:
+    """Nodes whose point lies within ``reach`` of a point of another component (id, x, node, part)."""
+    cells = build_cells(points.select("id", "x", "node", "part"), measure)
+    asks = cells.points.select(F.col("id").alias("qid"), "x", F.col("node").alias("qnode"), F.col("part").alias("qpart"))
+
+    def near(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(p) or not len(q):
+            return empty(["node"])
+        x, part, y, qpart = matrix(p["x"]), p["part"].to_numpy(), matrix(q["x"]), q["qpart"].to_numpy()
+        hit = [((measure(y[s], x) <= reach) & (qpart[s][:, None] != part[None, :])).any(1) for s in strips(len(y))]
+        return pd.DataFrame({"node": q["qnode"].to_numpy()[np.concatenate(hit)]})
+
+    return materialise(block_join(cells, visits(asks, cells, measure, reach), near, "node long"), "close").distinct()
+
+
 def dbscan(
     points: DataFrame,
     eps: float = 0.5,
@@ -96,28 +137,25 @@ def dbscan(
     cores = marked.filter("core")
     if cores.isEmpty():
         return rows.select("id", F.lit(-1).cast("bigint").alias("cluster"), F.lit(False).alias("core"))
-
-    # clusters: spanning edges between core groups, then components
-    core_cells = build_cells(cores.select("id", "x", "node"), measure)
-    asks = core_cells.points.select(F.col("id").alias("qid"), "x", F.col("node").alias("qnode"), F.col("cell").alias("home"))
-
-    def link(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(p) or not len(q):
-            return empty(["u", "v"])
-        x, node, y, qnode = matrix(p["x"]), p["node"].to_numpy(), matrix(q["x"]), q["qnode"].to_numpy()
-        found = []
-        for s in strips(len(y)):
-            i, j = np.nonzero(measure(y[s], x) <= eps)
-            a, b = qnode[s][i], node[j]
-            apart = a != b
-            if apart.any():
-                found.append(np.unique(np.stack([a[apart], b[apart]]), axis=1))
-        if not found:
-            return empty(["u", "v"])
-        edges = np.unique(np.concatenate(found, axis=1), axis=1)
-        return _local_forest(edges[0], edges[1])
-
-    edges = block_join(core_cells, visits(asks, core_cells, measure, float(eps), own="upper", home="home"), link, "u long, v long")
+    if width is not None:
+        # core points of one small grid cell are neighbours, so they are one group from the start
+        small = cores.withColumn("g", F.transform("x", lambda v: F.floor(v / (width / FINE))))
+        groups_of = small.groupBy("g").agg(F.min("id").alias("group"))
+        cores = small.join(groups_of, "g").select("id", "x", F.col("group").alias("node"))
+    cores = materialise(cores.select("id", "x", "node"), "cores")
+
+    # clusters: spanning edges between one point per group, then between the points of
+    # those groups that lie close to a group of another component
+    edges = _link(cores.filter("id = node"), measure, float(eps))
+    if width is not None:
+        parts = connected_components(edges)
+        named = cores.join(parts.select(F.col("node").alias("_n"), F.col("component").alias("_c")), F.col("node") == F.col("_n"), "left")
+        named = materialise(named.select("id", "x", "node", F.coalesce("_c", "node").alias("part")), "parted")
+        close = float(eps) * (1 + 2.0 / FINE)
+        near_other = _close_groups(named.filter("id = node"), measure, close)
+        edge_points = named.join(near_other, "node", "left_semi").select("id", "x", F.col("part").alias("node"))
+        inside = named.filter("part <> node").select(F.col("node").alias("u"), F.col("part").alias("v")).distinct()
+        edges = inside.unionByName(_link(edge_points, measure, float(eps)))
     parts = connected_components(edges.distinct())
     groups = cores.join(parts.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
     groups = groups.select("id", "x", F.coalesce("component", "node").alias("component"))

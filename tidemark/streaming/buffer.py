@@ -25,26 +25,30 @@ class StreamBuffer:
         self.spark, self.path = spark, path
         self.max_rows = max(FEWEST_ROWS, int(max_rows))
 
-    def _parts(self) -> DataFrame | None:
+    def _load(self, what: str) -> DataFrame | None:
         try:
-            return self.spark.read.option("mergeSchema", True).parquet(self.path)
+            return self.spark.read.option("mergeSchema", True).parquet(f"{self.path}/{what}")
         except Exception as error:  # noqa: BLE001
             if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
                 return None
             raise
 
-    def _next(self, batch: int) -> int:
-        parts = self._parts()
-        if parts is None:
-            return 0
-        top = parts.filter(F.col("batch") < batch).agg(F.max("seq").alias("m")).first()["m"]
-        return 0 if top is None else int(top) + 1
+    def _parts(self) -> DataFrame | None:
+        return self._load("rows")
 
     def append(self, rows: DataFrame, batch: int, order_by: list[str]) -> None:
-        """Add a batch: late columns widen the table, earlier rows have NULL there."""
-        first = self._next(batch)
-        numbered = with_row_id(rows, order_by, (), "seq").withColumn("seq", F.col("seq") + first)
-        numbered.write.mode("overwrite").parquet(f"{self.path}/batch={int(batch)}")
+        """Add a batch: late columns widen the table, earlier rows have NULL there.
+
+        Each batch leaves one counter row, so the next one never scans old rows.
+        """
+        counters = self._load("counters")
+        first = None if counters is None else counters.filter(F.col("batch") < int(batch)).agg(F.max("following").alias("m")).first()["m"]
+        first = int(first or 0)
+        target = f"{self.path}/rows/batch={int(batch)}"
+        with_row_id(rows, order_by, (), "seq").withColumn("seq", F.col("seq") + first).write.mode("overwrite").parquet(target)
+        count = self.spark.read.parquet(target).count()
+        counter = self.spark.createDataFrame([(first, first + count)], "first long, following long")
+        counter.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/counters/batch={int(batch)}")
 
     def sink(self, order_by: list[str]) -> Callable[[DataFrame, int], None]:
         """Function for ``writeStream.foreachBatch``."""
@@ -57,11 +61,12 @@ class StreamBuffer:
 
     def read(self) -> DataFrame:
         """The newest ``max_rows`` rows; whole parts that are too old are never opened."""
-        parts = self._parts()
-        if parts is None:
+        parts, counters = self._parts(), self._load("counters")
+        if parts is None or counters is None:
             raise ValueError("No streamed rows are available for export.")
-        top = parts.agg(F.max("seq").alias("m")).first()["m"]
-        return parts.filter(F.col("seq") > int(top) - self.max_rows)
+        oldest = int(counters.agg(F.max("following").alias("m")).first()["m"]) - self.max_rows
+        first_part = counters.filter(F.col("following") > oldest).agg(F.min("batch").alias("b")).first()["b"]
+        return parts.filter((F.col("batch") >= first_part) & (F.col("seq") >= oldest))
 
     def retain(self, annotations: DataFrame) -> DataFrame:
         """Annotations of rows that are still in the buffer."""

@@ -31,7 +31,9 @@ def parse_packets(packets: DataFrame, value: str = "value") -> DataFrame:
     # each stage is a projection of its own, so that a packet is parsed once
     text = F.regexp_replace(F.col(value).cast("string"), r"^\s+|\s+$", "")
     stage = packets.withColumn("_text", F.coalesce(text, F.lit("")))
-    stage = stage.withColumn("_json", F.try_parse_json("_text"))
+    # only what can start a JSON value is tried as JSON: a failed parse is costly
+    maybe = F.col("_text").rlike(r'^([\[{"0-9-]|(true|false|null)$)')
+    stage = stage.withColumn("_json", F.when(maybe, F.try_parse_json("_text")))
     stage = stage.withColumn("_shape", F.schema_of_variant("_json"))
     kind = (
         F.when(F.col("_json").isNull(), "none").when(F.startswith("_shape", F.lit("OBJECT")), "object")
@@ -59,23 +61,25 @@ def parse_packets(packets: DataFrame, value: str = "value") -> DataFrame:
         .when(F.size("_pairs") == 0, "no fields found in packet")
     )
     # a repeated key keeps its last value
+    names = F.transform("_pairs", lambda p: p["key"])
     last = F.filter("_pairs", lambda e, i: ~F.exists(F.slice("_pairs", i + 2, F.size("_pairs")), lambda p: p["key"] == e["key"]))
-    typed = F.map_from_entries(
-        F.transform(last, lambda e: F.struct(e["key"].alias("key"), F.struct(e["value"].alias("v"), coerced_kind(e["value"]).alias("k")).alias("value")))
-    )
+    once = F.when(F.size(F.array_distinct(names)) == F.size(names), F.col("_pairs")).otherwise(last)
+    raw = F.map_from_entries(F.transform(once, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
     plain = F.transform_values(
-        typed, lambda _, s: F.when(s["k"] == "boolean", F.lower(s["v"])).when(s["k"] != "null", s["v"])
+        "_raw",
+        lambda _, v: F.when(F.lower(v).isin("true", "false"), F.lower(v)).when(~F.lower(v).isin("null", "none"), v),
     )
     stage = stage.withColumn("error", error)
     ok = F.col("error").isNull()
     objects = F.transform("_items", lambda v: F.try_variant_get(v, "$", "map<string,variant>"))
-    stage = stage.withColumns({"_objects": F.when(ok, objects), "_typed": F.when(ok, typed), "_plain": F.when(ok, plain)})
+    stage = stage.withColumns({"_objects": F.when(ok, objects), "_raw": F.when(ok, raw)})
+    stage = stage.withColumn("_plain", plain)
     samples = F.coalesce(
         F.transform("_objects", lambda m: F.transform_values(m, lambda _, x: F.try_variant_get(x, "$", "string"))), F.when(F.col("_plain").isNotNull(), F.array("_plain"))
     )
     kinds = F.coalesce(
         F.transform("_objects", lambda m: F.transform_values(m, lambda _, x: _variant_kind(x))),
-        F.when(F.col("_typed").isNotNull(), F.array(F.transform_values("_typed", lambda _, s: s["k"]))),
+        F.when(F.col("_raw").isNotNull(), F.array(F.transform_values("_raw", lambda _, v: coerced_kind(v)))),
     )
     return stage.withColumns({"samples": F.when(ok, samples), "kinds": F.when(ok, kinds)}).select(*packets.columns, "error", "samples", "kinds")
 
