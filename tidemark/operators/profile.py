@@ -39,9 +39,9 @@ def distinct_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 
 
 def table_summary(
-    df: DataFrame, columns: Sequence[str] | None = None, project: dict[str, object] | None = None
+    df: DataFrame, columns: Sequence[str] | None = None, project: dict[str, object] | None = None, size: bool = False
 ) -> DataFrame:
-    """Rows, columns, missing cells, duplicate rows and estimated size as (metric, value).
+    """Rows, columns, missing cells and duplicate rows as (metric, value); with ``size`` also the planned size.
 
     ``project`` entries (project, dataset, label, feature rows) come first when given.
     """
@@ -54,6 +54,9 @@ def table_summary(
         ("Missing Cells", F.col("missing").cast("string")),
         ("Duplicate Rows", F.col("duplicates").cast("string")),
     ]
+    if size:
+        planned = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        rows.append(("Memory", F.lit(f"{planned / 1024:.1f} KB")))
     extra = [(k, F.lit(str(v))) for k, v in (project or {}).items()]
     pairs = [F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in [*extra, *rows]]
     one = total.join(F.broadcast(copies), F.lit(True), "inner")  # one row on each side
@@ -77,7 +80,7 @@ def missing_counts(df: DataFrame, only_missing: bool = True) -> DataFrame:
 def date_like_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Columns that are dates or whose values parse as dates at least half of the time.
 
-    Bare numbers always parse (they are read as clock offsets), as in the reference semantics.
+    Bare numbers always parse: they are read as offsets from the epoch.
     """
     names = list(columns or df.columns)
     cells = []
