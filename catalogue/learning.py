@@ -196,12 +196,16 @@ def hierarchical_clusters(spark, sf_dir):
     return cl.hierarchical(_points(spark, sf_dir), 10, "average")
 
 
-@query("cluster_scatter")
+@query("cluster_scatter", """
+WITH z AS (SELECT c_custkey, (c_nationkey % 3)::VARCHAR AS cluster, (c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER () AS a,
+  (c_nationkey - avg(c_nationkey) OVER ()) / stddev_pop(c_nationkey) OVER () AS b FROM customer), r AS (SELECT corr(a, b) AS r FROM z)
+SELECT c_custkey, cluster, round((CASE WHEN r >= 0 THEN a + b ELSE a - b END) / sqrt(2), 6) + 0.0::DOUBLE AS pc1,
+  round((CASE WHEN r >= 0 THEN a - b ELSE a + b END) / sqrt(2), 6) + 0.0::DOUBLE AS pc2 FROM z, r""")
 def cluster_scatter(spark, sf_dir):
     """Two components of the scaled features with the cluster of each row (K6)."""
     cust = _customers(spark, sf_dir)
     labels = cust.select(F.col("c_custkey").alias("id"), (F.col("c_nationkey") % 3).alias("cluster"))
-    return cl.cluster_scatter(cust, ["c_acctbal", "c_nationkey"], labels, "c_custkey")["points"]
+    return rounded(cl.cluster_scatter(cust, ["c_acctbal", "c_nationkey"], labels, "c_custkey")["points"], {"PC1": "pc1", "PC2": "pc2"})
 
 
 @query("elbow_curve")
