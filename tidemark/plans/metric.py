@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.roles import c
 from tidemark.plans.sampling import hash_key
+from tidemark.plans.session import materialise
 
 ROWS_PER_PIVOT = 4_000
 MOST_PIVOTS = 512
@@ -110,6 +111,8 @@ def build_cells(points: DataFrame, metric: Metric, id_col: str = "id", vector: s
                 yield pdf.assign(cell=d.argmin(1).astype("int32"), radius=d.min(1))
 
     placed = points.select(*[c(n) for n in names]).mapInPandas(assign, f"{schema}, cell int, radius double")
+    if wanted > 1:
+        placed = materialise(placed, "cells")  # every pass reads the assignment instead of repeating it
     stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("radius").alias("lo"), F.max("radius").alias("hi")).collect()
     size = len(pivots)
     counts, lo, hi = np.zeros(size, dtype=int), np.full(size, np.inf), np.full(size, -np.inf)
