@@ -53,9 +53,11 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
+        self.count = 0
 
     def keep(self, name: str, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{name}-{len(self.paths)}"
+        self.count += 1
+        path = f"{self.root}/{name}-{self.count}"
         df.write.parquet(path)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
