@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, lines, secrets, simhash, topk
+from tidemark.llm import chat, decontaminate, lines, secrets, simhash, topk
 from tidemark.llm.common import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -129,3 +129,23 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines whose template recurs."""
     found = lines.dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "text", "n_lines", "n_dropped")
+
+
+OP4_SQL = f"""
+WITH w AS (SELECT 0 AS kind, row_number() OVER () AS r, doc_id AS id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT row_number() OVER () AS i, item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM benchmark),
+s AS (SELECT i, item_id, width, unnest(list_distinct(list_transform(range(len(w) - width + 1), lambda k: array_to_string(w[k + 1 : k + width], ' ')))) AS shingle
+      FROM (SELECT *, least(len(w), {decontaminate.SHINGLE}) AS width FROM b WHERE len(w) > 0)),
+n AS (SELECT i, item_id, count(*) AS shingles FROM s GROUP BY i, item_id),
+d AS (SELECT DISTINCT r, id, width, unnest(list_transform(range(greatest(len(w) - width + 1, 0)), lambda k: array_to_string(w[k + 1 : k + width], ' '))) AS shingle
+      FROM w, (SELECT DISTINCT width FROM s))
+SELECT id AS doc_id, n.item_id, count(*)::INTEGER AS matched, any_value(shingles)::INTEGER AS shingles, count(*) / any_value(shingles) AS containment
+FROM d JOIN s USING (width, shingle) JOIN n USING (i) GROUP BY r, id, i, n.item_id HAVING count(*) >= ceil({decontaminate.CONTAINED} * any_value(shingles) - 1e-9)
+"""
+
+
+@query("op4_benchmark_decontamination", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items held by documents."""
+    found = decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("row")
