@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, lines, secrets, simhash, topk
+from tidemark.llm import chat, decontaminate, lines, secrets, simhash, topk, toxicity, training
 from tidemark.llm.common import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -149,3 +149,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items held by documents."""
     found = decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("row")
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, by a lexicon learned from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    lexicon = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_toxicity(docs, lexicon)
+    return scored.select("doc_id", training.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
