@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, lines, secrets, simhash, topk, toxicity, training
+from tidemark.llm import chat, decontaminate, lines, quality, secrets, simhash, topk, toxicity, training
 from tidemark.llm.common import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -158,3 +158,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexicon = toxicity.train(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score_toxicity(docs, lexicon)
     return scored.select("doc_id", training.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op6_quality_classifier")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, by a network trained on rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    network = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score_quality(docs, network)
+    return scored.select("doc_id", training.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
