@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, lines, quality, secrets, simhash, topk, toxicity, training
+from tidemark.llm import chat, decontaminate, lines, pieces, quality, secrets, simhash, topk, toxicity, training
 from tidemark.llm.common import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -167,3 +167,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     network = quality.train(docs, table(spark, sf_dir, "labels"))
     scored = quality.score_quality(docs, network)
     return scored.select("doc_id", training.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op9_sentencepiece_nbest")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four best segmentations of all documents, and whether the ids spell the text again."""
+    encoded = pieces.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    both = pieces.decode_texts(encoded)
+    return both.select("doc_id", "n_tokens", "score", "input_ids", "nbest", F.coalesce(F.col("decoded") == F.col("text"), F.col("text").isNull()).alias("exact"))
