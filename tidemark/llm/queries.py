@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, lines, pieces, quality, secrets, simhash, topk, toxicity, training
+from tidemark.llm import chat, decontaminate, lines, pieces, quality, secrets, simhash, suffix, topk, toxicity, training
 from tidemark.llm.common import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -175,3 +175,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = pieces.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
     both = pieces.decode_texts(encoded)
     return both.select("doc_id", "n_tokens", "score", "input_ids", "nbest", F.coalesce(F.col("decoded") == F.col("text"), F.col("text").isNull()).alias("exact"))
+
+
+@query("op7_suffix_array_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of strings of 200 bytes that are there more than once."""
+    found = suffix.dedup_strings(table(spark, sf_dir, "documents"), length=200, keep_first=False)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
