@@ -35,7 +35,7 @@ def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     found = simhash.near_duplicates(named, shingle=4, max_bits=4, id_col="__id")
     stay = Scratch(spark, "stay").keep("ids", found.filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct())
     first = Window.partitionBy("__id").orderBy(row_key("doc_id", "text"))
-    kept = named.join(stay, "__id", "left_semi").withColumn("__n", F.row_number().over(first)).filter("__n = 1")
+    kept = named.join(stay.hint("merge"), "__id", "left_semi").withColumn("__n", F.row_number().over(first)).filter("__n = 1")
     return kept.select(docs.columns)
 
 

@@ -105,7 +105,7 @@ def contained_items(
     if not sketch.limit(1).count():
         return slim.limit(0).join(held.limit(0).select("item_id"), F.lit(True)).select("row", "doc_id", "item_id", F.lit(0).alias("matched"), F.lit(0).alias("shingles"), F.lit(0.0).alias("containment"))
     met = scratch.keep("candidates", candidates(slim, sketch, "text"))
-    pairs = slim.join(met, "row").join(held, "item_id")
+    pairs = slim.join(met.hint("merge"), "row").join(held, "item_id")
     counted = pairs.select("row", "doc_id", "item_id", "need", F.size("shingles").alias("shingles"), F.size(F.array_intersect("shingles", shingles(words(F.col("text")), F.col("width")))).alias("matched"))
     return counted.filter("matched >= need").select("row", "doc_id", "item_id", "matched", "shingles", (F.col("matched") / F.col("shingles")).alias("containment"))
 
@@ -115,4 +115,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     scratch = Scratch(docs.sparkSession, "decontaminate")
     found = contained_items(docs, items, id_col=id_col, text_col=text_col, scratch=scratch, **options)
     bad = scratch.keep("contaminated", found.select(F.col("row").alias("__row")).distinct())
-    return docs.withColumn("__row", row_key(id_col, text_col)).join(bad, "__row", "left_anti").drop("__row")
+    return docs.withColumn("__row", row_key(id_col, text_col)).join(bad.hint("merge"), "__row", "left_anti").drop("__row")

@@ -226,7 +226,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int, gram: int, ke
     rows = scratch.keep("anchors", anchor_rows(docs, length, gram))
     per = rows.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("context") != F.max("context")).alias("differ")).filter("n > 1")
     per = scratch.keep("per", per.select("anchor", "differ"))
-    hits = scratch.keep("hits", rows.join(per, "anchor"))
+    hits = scratch.keep("hits", rows.join(per.hint("merge"), "anchor"))
     scratch.drop("anchors", "per")
     seen = F.min(F.struct("row", "place")).alias("seen")
     kinds = hits.groupBy("anchor", "context").agg(F.count("*").alias("n"), seen, F.first("left").alias("left"), F.first("right").alias("right"), F.first("differ").alias("differ"))
@@ -237,7 +237,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int, gram: int, ke
     # Contexts that differ but share an anchor are compared byte by byte.
     asked = kinds.filter("differ").groupBy("seen.row").agg(F.collect_list(F.struct("anchor", "context", "seen.place", "left", "right")).alias("asked"))
     asked = scratch.keep("asked", asked)
-    contexts = scratch.keep("contexts", context_bytes(docs.join(asked, "row"), length))
+    contexts = scratch.keep("contexts", context_bytes(docs.join(asked.hint("merge"), "row"), length))
     crowds = scratch.keep("crowds", contexts.groupBy("anchor").count().filter(F.col("count") > hot).select("anchor"))
     some = resolve(contexts.join(crowds, "anchor", "left_anti"), length).unionByName(resolve_hot(contexts.join(crowds, "anchor", "left_semi"), length))
     at_seen = ~F.col("kept_first") if keep_first else F.lit(True)
@@ -245,7 +245,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int, gram: int, ke
     found = scratch.keep("verdicts", whole.unionByName(near))
     scratch.drop("kinds", "asked", "contexts", "crowds")
     own = (F.col("row") == F.col("seen.row")) & (F.col("place") == F.col("seen.place"))
-    met = hits.join(found, ["anchor", "context"]).filter(F.when(own, F.col("at_seen")).otherwise(F.col("elsewhere")))
+    met = hits.join(found.hint("merge"), ["anchor", "context"]).filter(F.when(own, F.col("at_seen")).otherwise(F.col("elsewhere")))
     begin = F.col("place") - F.col("left")
     return met.select("row", (begin + F.col("first")).alias("start"), (begin + F.col("last") + length).alias("end"))
 
@@ -320,5 +320,5 @@ def dedup_strings(
                 all_spans.append([{"start": a, "end": b} for a, b in runs])
             yield pa.record_batch([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(all_spans, pairs), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
-    both = slim.join(gone, "row", "left").select("doc_id", "text", "gone")
+    both = slim.join(gone.hint("merge"), "row", "left").select("doc_id", "text", "gone")
     return in_batches(both, run, f"doc_id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
