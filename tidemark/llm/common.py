@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.session import apply_defaults, shared_folder
@@ -82,3 +82,8 @@ def in_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[
 def row_key(*names: str):
     """Hash of a row's identity, null-safe: equal rows share it."""
     return F.xxhash64(*[F.col(n) for n in names], *[F.col(n).isNull() for n in names])
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row, also where ``body`` uses it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)

@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, row_key
+from tidemark.llm.common import Scratch, let, row_key
 
 SHINGLE = 5
 CONTAINED = 0.8  # share of an item's shingles that a contaminated document holds
 BROADCAST_ROWS = 200_000  # sketch rows (16 bytes each) that travel to every task; more are joined by shuffle
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def words(text: Column) -> Column:
     """Lower-case words: runs of letters, marks and digits."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{M}\\p{N}]+", -1), lambda w: w != "")
@@ -26,16 +19,15 @@ def words(text: Column) -> Column:
 
 def shingles(tokens: Column, width: Column) -> Column:
     """Distinct shingles of an array of words, as text."""
-    count = F.size(tokens) - width
-    made = F.transform(F.sequence(F.lit(1), count + 1), lambda i: F.array_join(F.slice(tokens, i, width), " "))
-    return F.when(count >= 0, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
+    made = lambda t: F.transform(F.sequence(F.lit(1), F.size(t) - width + 1), lambda i: F.array_join(F.slice(t, i, width), " "))
+    return let(tokens, lambda t: F.when(F.size(t) >= width, F.array_distinct(made(t))).otherwise(F.array().cast("array<string>")))
 
 
 def _hashed(tokens: Column, width: int) -> Column:
     """Hashes of the shingles, repeats included; the hash of a shingle is made of its words' hashes."""
     marks = F.transform(tokens, lambda w: F.xxhash64(w))
     made = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(width)]))
-    return _let(marks, lambda h: F.when(F.size(h) >= width, made(h)).otherwise(F.array().cast("array<bigint>")))
+    return let(marks, lambda h: F.when(F.size(h) >= width, made(h)).otherwise(F.array().cast("array<bigint>")))
 
 
 def sketches(items: DataFrame, scratch: Scratch, shingle: int, contained: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -59,9 +51,13 @@ def sketches(items: DataFrame, scratch: Scratch, shingle: int, contained: float,
     return held.select("item_id", "shingles", "width", "need"), scratch.keep("sketch", sketch)
 
 
-def _probes(width: int) -> Column:
-    low = F.filter(_hashed(F.col("tokens"), width), lambda h: h <= F.col(f"top{width}"))
-    return F.transform(low, lambda h: F.struct(F.lit(width).alias("width"), h.alias("hash")))
+def _probes(width: int, bounds: list) -> Column:
+    """The document's shingle hashes that may be in a sketch of this width."""
+    fits = [F.when(F.size("tokens") - width + 1 >= b.least, F.lit(b.top)) for b in bounds if b.width == width]
+    top = F.greatest(*fits) if len(fits) > 1 else fits[0]
+    low = lambda most: F.filter(_hashed(F.col("tokens"), width), lambda h: h <= most)
+    named = F.transform(let(top, low), lambda h: F.struct(F.lit(width).alias("width"), h.alias("hash")))
+    return F.when(top.isNotNull(), named).otherwise(F.array().cast("array<struct<width:int,hash:bigint>>"))
 
 
 def candidates(docs: DataFrame, sketch: DataFrame, text_col: str) -> DataFrame:
@@ -72,12 +68,8 @@ def candidates(docs: DataFrame, sketch: DataFrame, text_col: str) -> DataFrame:
     hash is not above the largest one in these partitions' sketches are looked up.
     """
     bounds = sketch.groupBy("width", "size").agg(F.max("hash").alias("top"), F.min("need").alias("least")).orderBy("width", "size").collect()
-    tops, parts = {}, []
-    for width in sorted({b.width for b in bounds}):
-        fits = [F.when(F.size("tokens") - width + 1 >= b.least, F.lit(b.top)) for b in bounds if b.width == width]
-        tops[f"top{width}"] = F.greatest(*fits) if len(fits) > 1 else fits[0]
-        parts.append(F.when(F.col(f"top{width}").isNotNull(), _probes(width)).otherwise(F.array().cast("array<struct<width:int,hash:bigint>>")))
-    slim = docs.select("row", words(F.col(text_col)).alias("tokens")).withColumns(tops)
+    parts = [_probes(width, bounds) for width in sorted({b.width for b in bounds})]
+    slim = docs.select("row", F.explode(F.array(words(F.col(text_col)))).alias("tokens"))  # the explode makes the words once
     probes = slim.select("row", F.size("tokens").alias("n_words"), F.explode(F.flatten(F.array(*parts))).alias("it")).select("row", "n_words", "it.*")
     known = F.broadcast(sketch) if sketch.count() <= BROADCAST_ROWS else sketch
     met = probes.join(known, ["width", "hash"]).filter(F.col("n_words") - F.col("width") + 1 >= F.col("need"))
