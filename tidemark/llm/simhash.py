@@ -211,7 +211,7 @@ def near_links(distinct: DataFrame, max_bits: int, scratch: Scratch, chunk: int
     return in_batches(meet, run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """Components of documents whose SimHash fingerprints link at ``max_bits`` or fewer differing bits.
 
     Returns (doc_id, fp, component_id), one row per input row; the component is
@@ -219,14 +219,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col
     blank) have fingerprint zero and link like any other. Repeated rows come
     back as often as they came; rows without a doc_id are grouped by their
     text but never name a component. An empty table gives an empty table;
-    other columns of ``docs`` are ignored. Every text is read whole.
+    other columns of ``docs`` are ignored. Every text is read whole. ``chunk``
+    bounds what one task compares, not what is found.
     """
     if not 0 <= max_bits <= 64:
         raise ValueError("max_bits is between 0 and 64")
     scratch = Scratch(docs.sparkSession, "simhash")
     marks = scratch.keep("marks", fingerprints(docs, shingle, id_col, text_col))
     distinct = scratch.keep("distinct", marks.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    linked = scratch.keep("links", near_links(distinct.select("fp"), max_bits, scratch))
+    linked = scratch.keep("links", near_links(distinct.select("fp"), max_bits, scratch, chunk))
     named = components(linked, scratch).join(distinct, F.col("node") == F.col("fp"), "right")
     named = scratch.keep("named", named.select("fp", F.coalesce("component", "fp").alias("component"), "first"))
     least = scratch.keep("least", named.groupBy("component").agg(F.min("first").alias("component_id")))
