@@ -162,13 +162,13 @@ def _scored(spark, sf_dir):
     """Line items with a made-up score of being returned, taken from their own columns."""
     li = table(spark, sf_dir, "lineitem")
     score = F.col("l_tax") * 5 + F.col("l_quantity") / 100
-    return li.filter("l_returnflag <> 'N'").select("l_returnflag", "l_linestatus", (F.round(score, 2) / 0.95).alias("score"),
-                                                   F.when(F.col("l_quantity") > 25, "A").otherwise("R").alias("guess"))
+    returned = F.when(F.col("l_returnflag") == "R", "R").otherwise("A")
+    return li.select(returned.alias("l_returnflag"), "l_linestatus", (F.round(score, 2) / 0.95).alias("score"), F.when(F.col("l_quantity") > 25, "A").otherwise("R").alias("guess"))
 
 
 _SCORED = """
-s AS (SELECT l_returnflag, l_linestatus, round(l_tax * 5 + l_quantity / 100, 2) / 0.95::DOUBLE AS score, CASE WHEN l_quantity > 25 THEN 'A' ELSE 'R' END AS guess
-  FROM lineitem WHERE l_returnflag <> 'N')"""
+s AS (SELECT CASE WHEN l_returnflag = 'R' THEN 'R' ELSE 'A' END AS l_returnflag, l_linestatus, round(l_tax * 5 + l_quantity / 100, 2) / 0.95::DOUBLE AS score, CASE WHEN l_quantity > 25 THEN 'A' ELSE 'R' END AS guess
+  FROM lineitem)"""
 
 
 @query("classification_metrics", f"""
@@ -297,15 +297,15 @@ def class_separation(spark, sf_dir):
 
 
 @query("line_points", f"""WITH {SIGNAL_SQL} SELECT event_id AS row_index, date_trunc('second', ts)::VARCHAR AS x, round(x, 6) + 0.0::DOUBLE AS y FROM sig
-WHERE x IS NOT NULL ORDER BY event_id LIMIT 1000""")
+WHERE x IS NOT NULL""")
 def line_points(spark, sf_dir):
-    """First thousand complete rows with date text on the x axis."""
+    """Complete rows with date text on the x axis."""
     s = signal(spark, sf_dir).withColumn("when", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
     out = ch.line_points(s, "when", "x", "event_id")
     return rounded(out.withColumn("x", F.date_format("x", "yyyy-MM-dd HH:mm:ss")), ["y"])
 
 
-@query("time_series", f"""WITH {SIGNAL_SQL}, f AS (SELECT * FROM sig ORDER BY event_id LIMIT 2000)
+@query("time_series", f"""WITH {SIGNAL_SQL}, f AS (SELECT * FROM sig)
 SELECT event_id AS row_index, 'x' AS signal, round(x, 6) + 0.0::DOUBLE AS value FROM f UNION ALL SELECT event_id, 'y', round(y, 6) FROM f""")
 def time_series(spark, sf_dir):
     """Long form of several signals."""

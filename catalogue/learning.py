@@ -157,7 +157,7 @@ SELECT round(avg((i.b - i.a) / greatest(i.a, i.b)), 6) + 0.0::DOUBLE AS silhouet
 def cluster_metrics(spark, sf_dir):
     """Silhouette, Davies-Bouldin and Calinski-Harabasz of the labelled embeddings (M3-M6)."""
     pts = vector_from_array(_points(spark, sf_dir).withColumnRenamed("label", "cluster"), "x")
-    m = cl.clustering_metrics(pts)
+    m = cl.clustering_metrics(pts, silhouette="exact")
     names = ["silhouette_score", "davies_bouldin_score", "calinski_harabasz_score"]
     row = tuple(float(m[n]) for n in names) + (int(m["noise_count"]), int(m["cluster_count"]))
     out = spark.createDataFrame([row], ", ".join(f"{n} double" for n in names) + ", noise_count long, cluster_count long")
@@ -221,10 +221,29 @@ def silhouette_curve(spark, sf_dir):
     return cl.silhouette_curve(vector_from_array(_points(spark, sf_dir), "x"), n_init=1, method="squared")
 
 
-@query("linkage_distances")
+def _balances(spark, sf_dir):
+    return _customers(spark, sf_dir).select(F.col("c_custkey").alias("id"), F.array("c_acctbal").alias("x"))
+
+
+# On a line the spanning tree joins neighbours, so its edges are the gaps between sorted values.
+@query("linkage_distances", """
+WITH g AS (SELECT c_acctbal::DOUBLE - lag(c_acctbal::DOUBLE) OVER (ORDER BY c_acctbal, c_custkey) AS gap FROM customer)
+SELECT row_number() OVER (ORDER BY gap)::BIGINT AS step, round(gap, 6) + 0.0::DOUBLE AS distance FROM g WHERE gap IS NOT NULL""")
 def linkage_distances(spark, sf_dir):
-    """Ward merge heights of the first 250 rows, the size of that chart."""
-    return cl.linkage_distances(_points(spark, sf_dir))
+    """Single-linkage merge heights of all customers' balances."""
+    return rounded(cl.linkage_distances(_balances(spark, sf_dir)), ["distance"])
+
+
+@query("single_linkage_clusters", """
+WITH g AS (SELECT c_custkey, c_acctbal, c_acctbal::DOUBLE - lag(c_acctbal::DOUBLE) OVER (ORDER BY c_acctbal, c_custkey) AS gap FROM customer),
+r AS (SELECT *, row_number() OVER (ORDER BY gap DESC NULLS LAST) <= 6 AS cut FROM g),
+s AS (SELECT c_custkey, sum(cut::INTEGER) OVER (ORDER BY c_acctbal, c_custkey) AS part FROM r),
+f AS (SELECT part, min(c_custkey) AS first FROM s GROUP BY part),
+n AS (SELECT part, (row_number() OVER (ORDER BY first) - 1)::BIGINT AS cluster FROM f)
+SELECT c_custkey::BIGINT AS id, cluster FROM s JOIN n USING (part)""")
+def single_linkage_clusters(spark, sf_dir):
+    """Seven single-linkage clusters of all customers' balances (K4)."""
+    return cl.hierarchical(_balances(spark, sf_dir), 7, "single")
 
 
 def _workflow(spark, sf_dir, algorithm, parameters=None):

@@ -88,17 +88,28 @@ def test_linkage_finds_separate_groups(spark, linkage):
     assert len(heights) == 44 and (np.diff(heights) >= 0).all()
 
 
-def test_linkage_of_many_rows_uses_centroids(spark, monkeypatch):
-    monkeypatch.setattr(cl, "MICRO_CLUSTERS", 30)
-    rng = np.random.default_rng(6)
-    x = np.concatenate([rng.normal(m, 0.2, (60, 2)) for m in (0, 20)])
-    df = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "id long, x array<double>")
-    got = cl.hierarchical(df, 2, "ward").toPandas().sort_values("id").cluster.to_numpy()
-    assert (got == np.repeat([0, 1], 60)).all()
+@pytest.mark.parametrize("rows", [90, 300])
+def test_single_linkage_follows_chains_of_any_size(spark, monkeypatch, rows):
+    monkeypatch.setattr(cl, "TREE_CHUNK", 64)
+    third = rows // 3
+    x = [(float(i), 0.0) for i in range(third)] + [(float(i), 50.0) for i in range(rows - third)]
+    df = spark.createDataFrame([(i, list(v)) for i, v in enumerate(x)], "id long, x array<double>")
+    tree = cl.spanning_tree(df, chunk=64).toPandas()
+    assert len(tree) == rows - 1 and sorted(tree.w)[-1] == 50.0 and sorted(tree.w)[-2] == 1.0
+    got = cl.hierarchical(df, 2, "single").toPandas().sort_values("id").cluster.to_numpy()
+    assert (got == np.repeat([0, 1], [third, rows - third])).all()
+
+
+def test_other_linkages_refuse_more_rows_than_allowed(spark):
+    df = spark.createDataFrame([(i, [float(i)]) for i in range(30)], "id long, x array<double>")
+    for make in (lambda: cl.hierarchical(df, 2, "ward", max_rows=29), lambda: cl.linkage_distances(df, linkage="average", max_rows=29)):
+        with pytest.raises(ValueError, match="max_rows"):
+            make()
+    assert cl.hierarchical(df, 2, "ward", max_rows=30).count() == 30
 
 
 def test_ward_heights():
-    merges = cl.linkage_merges(np.array([[0.0], [1.0], [5.0]]), np.ones(3))
+    merges = cl.linkage_merges(np.array([[0.0], [1.0], [5.0]]))
     assert [h for _, _, h in merges] == pytest.approx([1.0, np.sqrt(4 / 3) * 4.5])
 
 
@@ -107,7 +118,7 @@ def test_cluster_metrics(spark, monkeypatch):
     x = np.array([[0.0, 0.0], [0.0, 1.0], [4.0, 0.0], [4.0, 1.0], [9.0, 9.0], [50.0, 50.0]])
     k = [0, 0, 1, 1, 2, -1]
     df = spark.createDataFrame([(i, int(c), [float(a) for a in r]) for i, (c, r) in enumerate(zip(k, x))], "id long, cluster long, x array<double>")
-    got = cl.clustering_metrics(vector_from_array(df, "x"))
+    got = cl.clustering_metrics(vector_from_array(df, "x"), silhouette="exact")
     d = Metric()(x[:5], x[:5])
     far = [min((d[i, 2] + d[i, 3]) / 2, d[i, 4]) for i in (0, 1)] + [min((d[i, 0] + d[i, 1]) / 2, d[i, 4]) for i in (2, 3)]
     want = np.mean([(b - 1.0) / max(b, 1.0) for b in far] + [0.0])
@@ -117,8 +128,8 @@ def test_cluster_metrics(spark, monkeypatch):
 
 @pytest.mark.parametrize(
     "method,parameters,text",
-    [("kmeans", {"n_clusters": 1}, "at least 2"), ("kmeans", {"n_clusters": 99}, "cannot exceed"), ("dbscan", {"eps": 0}, "eps"), ("dbscan", {"min_samples": 0}, "min_samples"),
-     ("hierarchical", {"linkage": "ward", "metric": "cosine"}, "Ward"), ("other", {}, "Unsupported")],
+    [("kmeans", {"n_clusters": 1}, "from 2"), ("kmeans", {"n_clusters": 99}, "number of rows"), ("dbscan", {"eps": 0}, "eps"), ("dbscan", {"min_samples": 0}, "min_samples"),
+     ("hierarchical", {"linkage": "ward", "metric": "cosine"}, "Ward"), ("hierarchical", {"linkage": "single", "metric": "typo"}, "one of"), ("other", {}, "Unknown")],
 )
 def test_clustering_refusals(method, parameters, text):
     with pytest.raises(ValueError, match=text):

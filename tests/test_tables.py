@@ -153,6 +153,8 @@ def test_chart_rules(spark):
     assert len(rows) == 2 and rows[0]["left"] == 3.5 and sum(r["count"] for r in rows) == 3
     assert charts.chart_problem(df, "Grouped Box Plot", "x", "y").startswith("Grouped")
     with pytest.raises(ValueError, match="limit 20"):
-        charts.class_separation(df.sparkSession.range(21).selectExpr("id a", "id b", "id l"), "a", "b", "l")
+        charts.class_separation(df.sparkSession.range(21).selectExpr("id a", "id b", "id l"), "a", "b", "l", limit=20)
+    many = charts.class_separation(df.sparkSession.range(40).selectExpr("id a", "id b", "39 - id l"), "a", "b", "l")
+    assert [r["code"] for r in many.orderBy("l").collect()] == list(range(40))
     box = charts.box_statistics(df.sparkSession.createDataFrame([(float(v),) for v in (1, 2, 3, 4, 100)], "v double"), "v").first()
     assert (box["q1"], box["whisker_high"], box["outliers"]) == (2.0, 4.0, 1) and math.isclose(box["median"], 3.0)

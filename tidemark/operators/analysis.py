@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.prepare import fit_preparation
 from tidemark.plans.ordered import running_totals, with_halo, with_row_id
-from tidemark.plans.roles import c, numeric_columns, require_columns
+from tidemark.plans.roles import c, nan_to_null, numeric_columns, require_columns
 from tidemark.plans.sampling import class_counts
 
 WIDE_COLUMNS = 24  # beyond this the pairs are summed block-wise instead of one aggregate each
@@ -62,7 +62,8 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, label
     columns = list(columns) if columns else numeric_columns(df, label)
     require_columns(df, columns)
     if not columns:
-        raise ValueError("There are no numeric features/ columns.")
+        raise ValueError("A correlation needs at least one numeric column.")
+    df = nan_to_null(df.select(*[c(n) for n in dict.fromkeys(columns)]))
     if len(columns) > WIDE_COLUMNS:
         return _pair_table(df.sparkSession, _gram(df, columns), columns)
     cells = []
@@ -101,39 +102,37 @@ def _square(pairs: DataFrame, columns: Sequence[str], digits: int | None, undefi
     return pairs.groupBy(F.col("feature_a").alias("feature")).agg(*cells).orderBy("feature")
 
 
-def category_correlation(df: DataFrame, columns: Sequence[str], digits: int | None = 4) -> DataFrame:
+def category_correlation(df: DataFrame, columns: Sequence[str], digits: int | None = 4, most: int = MAX_DUMMIES) -> DataFrame:
     """Correlation of the one-hot columns of text columns, long form, from pair counts.
 
     A 0/1 column needs no matrix: its correlation follows from how often two
-    categories occur, alone and together. NULL belongs to no category.
+    categories occur, alone and together. NULL belongs to no category. The
+    result has a row per pair of categories; more than ``most`` are refused.
     """
     columns = list(columns)
     require_columns(df, columns)
-    spark = df.sparkSession
-    singles = df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("col"), c(n).cast("string").alias("v")) for n in columns])).alias("x"))
-    singles = singles.select("x.*").filter("v IS NOT NULL").groupBy("col", "v").agg(F.count(F.lit(1)).alias("n"))
-    rows = singles.limit(MAX_DUMMIES + 1).collect()
-    if len(rows) < 2:
-        raise ValueError("The selected non-numeric columns do not produce a useful correlation matrix.")
-    if len(rows) > MAX_DUMMIES:
-        raise ValueError(f"More than {MAX_DUMMIES} categories: the matrix would not be readable.")
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("col"), c(n).cast("string").alias("v")) for i, n in enumerate(columns)])
+    marked = df.select(F.filter(cells, lambda x: x["v"].isNotNull()).alias("held"))
+    singles = marked.select(F.explode("held").alias("x")).select("x.*").groupBy("i", "col", "v").agg(F.count(F.lit(1)).alias("n"))
+    found = singles.limit(most + 1).count()
+    if found < 2:
+        raise ValueError("The chosen text columns have fewer than two categories.")
+    if found > most:
+        raise ValueError(f"There are more than {most} categories.")
+    a, b = marked.select("held", F.explode("held").alias("a")).select("a", F.explode("held").alias("b")), lambda s, n: F.col(f"{s}.{n}")
+    together = a.filter(b("a", "i") < b("b", "i")).groupBy(*[b(s, n).alias(f"{s}_{n}") for s in "ab" for n in ("i", "v")]).agg(F.count(F.lit(1)).alias("n11"))
     total = df.count()
-    names = sorted((columns.index(r["col"]), r["v"], r["n"]) for r in rows)
-    together: dict[tuple[str, str], int] = {}
-    for i, a in enumerate(columns):
-        for b in columns[i + 1 :]:
-            pair = df.groupBy(c(a).cast("string").alias("a"), c(b).cast("string").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-            for r in pair.filter("a IS NOT NULL AND b IS NOT NULL").collect():  # at most MAX_DUMMIES squared
-                together[f"{a}_{r['a']}", f"{b}_{r['b']}"] = r["n"]
-    out = []
-    for ia, va, na in names:
-        for ib, vb, nb in names:
-            x, y = f"{columns[ia]}_{va}", f"{columns[ib]}_{vb}"
-            n11 = na if x == y else together.get((x, y), together.get((y, x), 0))
-            spread = na * (total - na) * nb * (total - nb)
-            corr = (n11 * total - na * nb) / math.sqrt(spread) if spread > 0 else None
-            out.append((x, y, round(corr, digits) if corr is not None and digits is not None else corr))
-    return spark.createDataFrame(out, "feature_a string, feature_b string, corr double")
+    name = lambda s: singles.select(*[F.col(n).alias(f"{s}_{n}") for n in ("i", "col", "v", "n")])
+    grid = name("a").join(F.broadcast(name("b")), F.lit(True))  # at most ``most`` rows
+    turn = F.col("a_i") <= F.col("b_i")
+    keys = {"p_i": F.least("a_i", "b_i"), "p_v": F.when(turn, F.col("a_v")).otherwise(F.col("b_v")), "q_i": F.greatest("a_i", "b_i"), "q_v": F.when(turn, F.col("b_v")).otherwise(F.col("a_v"))}
+    known = together.select(F.col("a_i").alias("p_i"), F.col("a_v").alias("p_v"), F.col("b_i").alias("q_i"), F.col("b_v").alias("q_v"), "n11")
+    both = grid.withColumns(keys).join(known, list(keys), "left")
+    same = (F.col("a_i") == F.col("b_i")) & (F.col("a_v") == F.col("b_v"))
+    n11, na, nb = F.when(same, F.col("a_n")).otherwise(F.coalesce("n11", F.lit(0))).cast("double"), F.col("a_n").cast("double"), F.col("b_n").cast("double")
+    corr = F.try_divide(n11 * total - na * nb, F.sqrt(na * (total - na) * nb * (total - nb)))
+    label = lambda s: F.concat_ws("_", f"{s}_col", f"{s}_v")
+    return both.select(label("a").alias("feature_a"), label("b").alias("feature_b"), (corr if digits is None else F.round(corr, digits)).alias("corr"))
 
 
 def principal_components(

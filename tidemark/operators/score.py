@@ -19,21 +19,18 @@ def match_features(model: ClassifierModel, columns: Sequence[str]) -> tuple[list
 
 
 def check_scoring_table(df: DataFrame, features: Sequence[str]) -> None:
-    """Refuse missing, non-numeric or incomplete feature columns (one aggregation)."""
-    if not features:
-        raise ValueError("Select the model feature columns used during training.")
-    absent = [n for n in features if n not in df.columns]
-    if absent:
-        raise ValueError("Missing model features: " + ", ".join(absent))
-    text = [n for n in features if not is_numeric(df, n)]
-    if text:
-        raise ValueError("The current exported model expects numeric input. These selected columns are not numeric: " + ", ".join(text))
-    row = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(missing(df, n)).alias(f"_{i}") for i, n in enumerate(features)]).first()
-    if row["rows"] == 0:
-        raise ValueError("No dataset is available for prediction.")
-    gaps = [f"{n} ({row[i + 1]})" for i, n in enumerate(features) if row[i + 1]]
+    """Refuse a table that lacks features, holds them as text, or has gaps in them (one aggregation)."""
+    lacking = [n for n in features if n not in df.columns]
+    wordy = [n for n in features if n in df.columns and not is_numeric(df, n)]
+    for text, names in (("Missing model features", lacking), ("These features are not numeric", wordy)):
+        if names:
+            raise ValueError(f"{text}: {', '.join(names)}")
+    seen = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(missing(df, n)).alias(f"_{i}") for i, n in enumerate(features)]).first()
+    if not features or not seen["rows"]:
+        raise ValueError("Nothing to score: there are no rows or the model has no features.")
+    gaps = ", ".join(f"{n} ({k})" for n, k in zip(features, seen[1:]) if k)
     if gaps:
-        raise ValueError("Prediction features contain missing values: " + ", ".join(gaps))
+        raise ValueError(f"Features with missing values: {gaps}")
 
 
 def score_table(

@@ -37,6 +37,8 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str = "minkowski", p: float
         p = 2.0
     elif metric in ("manhattan", "l1"):
         p = 1.0
+    elif metric not in ("minkowski", "chebyshev"):
+        raise ValueError(f"Unknown metric {metric!r}.")
     out = np.zeros((len(a), len(b)))
     for j in range(a.shape[1]):
         d = np.abs(a[:, j, None] - b[None, :, j])
