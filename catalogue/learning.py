@@ -17,7 +17,7 @@ from tidemark.operators.evaluate import comparison_table, metric_list
 from tidemark.operators.neighbours import k_distances, knn_classify
 from tidemark.operators.prepare import fit_preparation, vector_from_array
 from tidemark.operators.recipe import Dataset
-from tidemark.plans.session import shared_folder
+from tidemark.plans.session import scratch_folder
 from tidemark.sources import project as pr
 from tidemark.sources.tables import read_csv, write_table
 
@@ -320,7 +320,7 @@ def prediction_columns(spark, sf_dir):
 def evaluate_models(spark, sf_dir):
     """A saved model loaded and evaluated on a table."""
     ev = _separable(spark, sf_dir)
-    folder = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
+    folder = f"{scratch_folder(spark)}/model-{uuid.uuid4().hex}"
     pr.save_model(mo.fit_classifier(ev, "side", "event_id", "decision_tree", name="tree"), folder)
     out = mo.evaluate_models([pr.load_model(spark, folder)], ev, "side", "event_id")
     return spark.createDataFrame([(o["name"], o["metrics"]["accuracy"], o["metrics"]["f1"]) for o in out], "name string, accuracy double, f1 double")
@@ -453,7 +453,7 @@ def pseudo_label_export(spark, sf_dir):
 @query("csv_round_trip", f"WITH {SIGNAL_SQL} SELECT event_id, event_type, round(x, 6) + 0.0::DOUBLE AS x, round(y, 6) + 0.0::DOUBLE AS y FROM sig")
 def csv_round_trip(spark, sf_dir):
     """A table written as CSV and read back with chosen columns."""
-    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/csv-{uuid.uuid4().hex}"
     write_table(signal(spark, sf_dir).select("event_id", "user_id", "event_type", "x", "y"), path)
     return rounded(read_csv(spark, path, ["y", "x", "event_type", "event_id"]), ["x", "y"])
 
@@ -463,7 +463,7 @@ WITH {SIGNAL_SQL} SELECT event_id, user_id, round(coalesce(x, (SELECT avg(x) FRO
   round((y - (SELECT avg(y) FROM sig)) / (SELECT stddev_pop(y) FROM sig), 6) + 0.0::DOUBLE AS y FROM sig""")
 def project_round_trip(spark, sf_dir):
     """A project saved and loaded: its recipe rebuilds the working table."""
-    path = f"{shared_folder(spark)}/project-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/project-{uuid.uuid4().hex}"
     data = Dataset(signal(spark, sf_dir).select("event_id", "user_id", "x", "y"), "event_id").impute(["x"]).standardize(["y"])
     pr.save_project(path, data, "event_type")
     return rounded(pr.load_project(spark, path)["dataset"].working(), ["x", "y"])

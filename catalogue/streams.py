@@ -10,7 +10,7 @@ from catalogue.common import query, rnd, rounded, table
 from catalogue.signals import features_sql
 from tidemark.operators.models import fit_classifier
 from tidemark.operators.score import score_table
-from tidemark.plans.session import shared_folder
+from tidemark.plans.session import scratch_folder
 from tidemark.streaming.buffer import StreamBuffer, start_stream
 from tidemark.streaming.packets import (
     dead_letters,
@@ -75,7 +75,7 @@ def packet_field_drift(spark, sf_dir):
 
 def _stream(spark, sf_dir, name):
     """A file stream of the packets and a fresh folder for its state."""
-    folder = f"{shared_folder(spark)}/stream-{name}-{uuid.uuid4().hex}"
+    folder = f"{scratch_folder(spark)}/stream-{name}-{uuid.uuid4().hex}"
     _packets(spark, sf_dir).select("value").repartition(4).write.text(f"{folder}/in")
     samples = project_fields(valid_samples(parse_packets(read_packets(spark, f"{folder}/in", 2))), FIELDS)
     return samples, folder
@@ -101,7 +101,7 @@ _WINDOW_SQL = features_sql(20, 10, False, "xy")
 @query("stream_windows", f"""WITH w AS ({_WINDOW_SQL}) SELECT count(*)::BIGINT AS windows, count(DISTINCT user_id)::BIGINT AS users, count(DISTINCT (user_id, window_number))::BIGINT AS numbers FROM w""")
 def stream_windows(spark, sf_dir):
     """Complete windows of every user, however the samples were cut into batches (Q8)."""
-    folder = f"{shared_folder(spark)}/stream-windows-{uuid.uuid4().hex}"
+    folder = f"{scratch_folder(spark)}/stream-windows-{uuid.uuid4().hex}"
     ev = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.col("value").alias("y"))
     ev.repartitionByRange(4, "ts", "event_id").write.parquet(f"{folder}/in")
     samples = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
