@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.plans.session import apply_defaults, shared_folder
+from tidemark.plans.session import apply_defaults, remove_folder, scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,12 +46,13 @@ class Scratch:
     """Parquet tables in the shared folder that cut lineage and survive lost executors.
 
     ``keep`` writes a table and reads it back; ``drop`` removes tables that
-    nothing reads any more. What the returned DataFrame reads has to stay.
+    nothing reads any more. What the returned DataFrame reads stays until the
+    driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_folder(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+        self.root = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
         self.count = 0
 
@@ -63,11 +64,8 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.paths[name])
-            path.getFileSystem(conf).delete(path, True)
+            remove_folder(self.spark, self.paths[name])
 
 
 def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes]:
