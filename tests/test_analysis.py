@@ -13,6 +13,16 @@ def test_perfect_correlation(spark):
     assert [r["corr"] for r in an.correlation_pairs(df).collect()] == pytest.approx([1.0] * 4)
 
 
+def test_nan_counts_as_missing_in_correlations(spark, monkeypatch):
+    rows = [(1.0, 2.0, 1.0), (2.0, float("nan"), 0.0), (3.0, 5.0, None), (4.0, 9.0, 2.0), (5.0, 8.0, 7.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    want = df.toPandas().corr()
+    for wide in (24, 1):
+        monkeypatch.setattr(an, "WIDE_COLUMNS", wide)
+        for r in an.correlation_pairs(df).collect():
+            assert r["corr"] == pytest.approx(want.loc[r["feature_a"], r["feature_b"]])
+
+
 def test_wide_and_narrow_correlation_agree(students, monkeypatch):
     cols = ["score", "grade", "essay"]
     gappy = students.withColumn("essay", F.when(F.col("essay") > 2.5, F.col("essay")))

@@ -87,6 +87,31 @@ def test_self_training_from_a_fitted_model(table):
     assert made["stopped"] == "max_iter"
 
 
+def test_pretrained_model_guesses_only_classes_of_the_table(table):
+    kinds = table.withColumn("kind", F.when(F.col("grade") > 9.2, "c").when(F.col("grade") > 8.4, "b").otherwise("a"))
+    seed = mo.fit_classifier(kinds, "kind", "student", "logistic_regression", None, FEATURES)
+    part = kinds.withColumn("kind", F.when((F.col("kind") != "c") & (F.col("student") % 2 == 0), F.col("kind")))
+    made = st.self_train(part, "kind", "student", FEATURES, threshold=0.0, max_iter=1, pretrained=seed)
+    labels = {r[0] for r in made["pseudo_labels"].select("label").distinct().collect()}
+    assert labels <= {"a", "b"} and made["pseudo_labels"].count() == part.filter("kind IS NULL").count()
+    with pytest.raises(ValueError, match="features"):
+        st.self_train(part, "kind", "student", FEATURES[:1], max_iter=1, pretrained=seed)
+
+
+def test_rank_cuts_agree_on_both_paths(table, monkeypatch):
+    scored = table.select("student", (F.col("student") % 7 / 7.0).alias("confidence"))
+    take = lambda k: {r[0] for r in scored.filter(st._accepted(scored, "k_best", 0.9, k, "student")).select("student").collect()}
+    want = {k: take(k) for k in (1, 100, 499, 600)}
+    monkeypatch.setattr(st, "MOST_BEST", 0)
+    assert {k: take(k) for k in want} == want and len(want[100]) == 100 and len(want[600]) == 500
+
+
+def test_scores_without_probabilities(table):
+    model = mo.fit_classifier(table, "research", "student", "svm", {"kernel": "linear", "probability": False}, FEATURES)
+    rows = model.decision_scores(table, 1, ["student"]).join(model.predict(table, "student"), "student").collect()
+    assert all((r["score"] > 0) == (r["prediction"] == 1) for r in rows) and len(rows) == 500
+
+
 def test_project(spark, table):
     data = Dataset(table, "student").standardize(["grade"])
     model = mo.fit_classifier(table, "research", "student", "decision_tree", {"max_depth": 2}, FEATURES)

@@ -33,7 +33,8 @@ from tidemark.plans.session import materialise
 
 ALGORITHMS = ("svm", "knn", "decision_tree", "random_forest", "logistic_regression")
 MAX_TREE_DEPTH = 30  # the deepest tree the tree learner accepts
-LANDMARKS = 256
+LANDMARKS = 256  # rows a kernel is approximated with, unless "landmarks" is given
+TREE_BINS, SVM_PASSES = 64, 200  # unless "max_bins" and "max_iter" are given
 
 # Default parameters of each algorithm.
 DEFAULTS: dict[str, dict[str, Any]] = {
@@ -129,7 +130,7 @@ def build_estimator(algorithm: str, parameters: Mapping[str, Any] | None = None,
         impurity = "gini" if p["criterion"] == "gini" else "entropy"
         if int(p["min_samples_split"]) > 2:
             warnings.warn("min_samples_split has no counterpart and is ignored; use min_samples_leaf.", stacklevel=2)
-        tree = {"impurity": impurity, "maxDepth": _depth(p["max_depth"]), "minInstancesPerNode": int(p["min_samples_leaf"]), "seed": int(seed), "maxBins": 64, "maxMemoryInMB": 512}
+        tree = {"impurity": impurity, "maxDepth": _depth(p["max_depth"]), "minInstancesPerNode": int(p["min_samples_leaf"]), "seed": int(seed), "maxBins": int(p.get("max_bins", TREE_BINS)), "maxMemoryInMB": 512}
         subset = p["max_features"] or "all"
         if algorithm == "decision_tree" and subset == "all":
             return DecisionTreeClassifier(probabilityCol="_prob", rawPredictionCol="_raw", **tree, **common)
@@ -221,7 +222,8 @@ class ClassifierModel:
             total = sum(shares[1:], shares[0])
             prob = F.array(*[s / total for s in shares])
             index = F.array_position(F.array(*cells), F.array_max(F.array(*cells))).cast("int") - 1
-        return mapped.withColumn("_probs", prob).withColumn("_index", index)
+        margins = F.array(-cells[0], cells[0]) if len(self.classes) == 2 else F.array(*cells)
+        return mapped.withColumns({"_probs": prob, "_index": index, "_margins": margins})
 
     def score_vectors(self, vectors: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         """``keep`` columns with the class position ``_index`` and the class shares ``_probs``."""
@@ -242,6 +244,16 @@ class ClassifierModel:
             *[c(n) for n in keep], self._decode(F.col("_index")).alias("prediction"), prob.alias("probability"), F.array_max(prob).alias("confidence")
         )
 
+    def decision_scores(self, df: DataFrame, positive: Any, keep: Sequence[str] = ()) -> DataFrame:
+        """``keep`` columns with ``score``: the probability of class ``positive``, or its margin if the model gives no probabilities."""
+        if positive not in self.classes:
+            raise ValueError(f"{positive!r} is none of the classes {self.classes}.")
+        at = self.classes.index(positive)
+        vectors = self.preparation.vectors(df, keep)
+        if self.algorithm == "svm" and not self.parameters.get("probability", True):
+            return self._margins(vectors).select(*[c(n) for n in keep], F.get("_margins", F.lit(at)).alias("score"))
+        return self.score_vectors(vectors, keep).select(*[c(n) for n in keep], F.get("_probs", F.lit(at)).alias("score"))
+
     def predict(self, df: DataFrame, row_id: str) -> DataFrame:
         """(row_id, prediction, probability, confidence) of every row."""
         if self.algorithm != "knn":
@@ -281,7 +293,7 @@ def _fit_svm(vectors: DataFrame, n_classes: int, p: Mapping[str, Any], rows: int
             gamma = 1.0 / (width * flat) if flat else 1.0
         else:
             gamma = 1.0 / width if p["gamma"] == "auto" else float(p["gamma"])
-        marks = vectors.select("features", hash_key(id_col, seed).alias("h")).orderBy("h").limit(LANDMARKS).collect()
+        marks = vectors.select("features", hash_key(id_col, seed).alias("h")).orderBy("h").limit(int(p.get("landmarks", LANDMARKS))).collect()
         kernel = KernelMap(p["kernel"], gamma, int(p["degree"]), float(p["coef0"])).fit(np.array([r["features"].toArray() for r in marks]))
         vectors = kernel.transform(vectors)
     held = vectors.persist(StorageLevel.MEMORY_AND_DISK)
@@ -291,7 +303,7 @@ def _fit_svm(vectors: DataFrame, n_classes: int, p: Mapping[str, Any], rows: int
             target = held.withColumn("_t", F.when(F.col("_y") == (1 if n_classes == 2 else i), 1.0).otherwise(0.0))
             machine = LinearSVC(
                 featuresCol="features", labelCol="_t", rawPredictionCol=f"_raw{i}", predictionCol=f"_p{i}", standardization=False,
-                regParam=1.0 / (float(p["C"]) * rows), tol=float(p["tol"]), maxIter=200,
+                regParam=1.0 / (float(p["C"]) * rows), tol=float(p["tol"]), maxIter=int(p.get("max_iter", SVM_PASSES)),
             ).fit(target)
             margins = machine.transform(target).select("_t", F.array(vector_to_array(f"_raw{i}")[1]).alias("m"))
             scale = LogisticRegression(featuresCol="m", labelCol="_t", maxIter=100).fit(margins.withColumn("m", array_to_vector("m")))
