@@ -24,7 +24,7 @@ from tidemark.functions.stat_keys import (
     parts_needed,
     sign_bit,
 )
-from tidemark.plans.ordered import join_on_keys, with_halo, with_row_id
+from tidemark.plans.ordered import exact_quantiles, join_on_keys, with_halo, with_row_id
 from tidemark.plans.roles import c, is_numeric, require_columns
 
 SUB_PANE_ROWS = 65_536  # panes longer than this are aggregated in pieces
@@ -121,13 +121,28 @@ def _valid(layout: WindowLayout, w: Column, rows: Column) -> Column:
     return complete | ((rows < layout.size) & first)
 
 
-def _pane_statistics(base: DataFrame, keys: list[str], names: list[str], parts: list[str], layout: WindowLayout) -> DataFrame:
-    """One row per (entity, pane, piece) with mergeable statistics of every column."""
-    whole, rest = divmod(layout.size, layout.step)
+def _pane_number(layout: WindowLayout) -> Column:
+    """Pane of a sample: the axis is cut at every window start and every window end."""
+    rest = layout.size % layout.step
     number = F.floor(F.col("_i") / layout.step).cast("bigint")
+    return number * 2 + F.when(F.pmod(F.col("_i"), F.lit(layout.step)) >= rest, 1).otherwise(0) if rest else number
+
+
+def _windows_of_pane(layout: WindowLayout) -> Column:
+    """Numbers of the windows that hold a pane."""
+    whole, rest = divmod(layout.size, layout.step)
+    pane = F.col("_pane")
+    step_no = F.floor(pane / 2) if rest else pane
+    reach = F.lit(whole - 1)
     if rest:
-        number = number * 2 + F.when(F.pmod(F.col("_i"), F.lit(layout.step)) >= rest, 1).otherwise(0)
-    panes = base.withColumns({"_pane": number, "_piece": F.floor(F.col("_i") / SUB_PANE_ROWS).cast("bigint")})
+        reach = reach + F.when(pane % 2 == 0, 1).otherwise(0)
+    first = F.greatest(F.lit(0), step_no - reach).cast("bigint")
+    return F.sequence(first, step_no.cast("bigint"))
+
+
+def _pane_statistics(base: DataFrame, keys: list[str], names: list[str], parts: list[str], layout: WindowLayout) -> DataFrame:
+    """One row per (entity, pane, piece) with mergeable statistics of every column."""
+    panes = base.withColumns({"_pane": _pane_number(layout), "_piece": F.floor(F.col("_i") / SUB_PANE_ROWS).cast("bigint")})
     group = [*[c(k) for k in keys], F.col("_pane"), F.col("_piece")]
     aggregates = [F.count(F.lit(1)).alias("_rows")]
     if "changes" in parts:
@@ -150,14 +165,7 @@ def _pane_statistics(base: DataFrame, keys: list[str], names: list[str], parts:
 
 def _merge_panes(panes: DataFrame, keys: list[str], names: list[str], parts: list[str], layout: WindowLayout) -> DataFrame:
     """Merge the panes of each window; moments combine around the window mean."""
-    whole, rest = divmod(layout.size, layout.step)
-    pane = F.col("_pane")
-    step_no = F.floor(pane / 2) if rest else pane
-    reach = F.lit(whole - 1)
-    if rest:
-        reach = reach + F.when(pane % 2 == 0, 1).otherwise(0)
-    first = F.greatest(F.lit(0), step_no - reach).cast("bigint")
-    spread = panes.withColumn("_w", F.explode(F.sequence(first, step_no.cast("bigint"))))
+    spread = panes.withColumn("_w", F.explode(_windows_of_pane(layout)))
     group = [*[c(k) for k in keys], F.col("_w")]
     every = Window.partitionBy(*group)
     before = every.orderBy("_pane", "_piece").rowsBetween(Window.unboundedPreceding, -1)
@@ -193,26 +201,27 @@ def _merge_panes(panes: DataFrame, keys: list[str], names: list[str], parts: lis
 
 
 def _value_statistics(base: DataFrame, keys: list[str], names: list[str], layout: WindowLayout) -> DataFrame:
-    """Median, distinct count, smallest mode and its count per window, from value counts."""
-    at = F.col("_i")
-    first = F.greatest(F.lit(0), F.ceil((at - layout.size + 1) / layout.step)).cast("bigint")
-    last = F.floor(at / layout.step).cast("bigint")
-    # count each value once per pane-sized step before it is copied to its windows
+    """Median, distinct count, smallest mode and its count per window, from value counts.
+
+    A window of up to ``SUB_PANE_ROWS`` rows is one task's work. Longer ones
+    are counted per pane first, their windows merge the counts, and medians
+    come from range-sorted values, so no task holds a window.
+    """
     stacked = ", ".join(f"{i}, {n}" for i, n in enumerate(names))
-    long = (
-        base.withColumns({"_first": first, "_last": last})
-        .select(*[c(k) for k in keys], "_first", "_last", F.expr(f"stack({len(names)}, {stacked}) AS (_c, _x)"))
-        .filter(F.col("_x").isNotNull())
-        .select(*[c(k) for k in keys], F.explode(F.sequence("_first", "_last")).alias("_w"), "_c", "_x")
-    )
-    group = [*[c(k) for k in keys], F.col("_w")]
-    counts = long.repartition(*group).groupBy(*group, "_c", "_x").agg(F.count(F.lit(1)).alias("_f"))
-    stats = counts.groupBy(*group, "_c").agg(
-        F.count(F.lit(1)).alias("unique"),
-        F.max("_f").alias("freq"),
-        F.min_by("_x", F.struct(-F.col("_f"), F.col("_x"))).alias("top"),
-        F.percentile("_x", F.lit(0.5), F.col("_f")).alias("median"),
-    )
+    own = [c(k) for k in keys]
+    long = base.withColumn("_pane", _pane_number(layout)).select(*own, "_pane", F.expr(f"stack({len(names)}, {stacked}) AS (_c, _x)")).filter(F.col("_x").isNotNull())
+    group = [*own, F.col("_w")]
+    held = [F.count(F.lit(1)).alias("unique"), F.max("_f").alias("freq"), F.min_by("_x", F.struct(-F.col("_f"), F.col("_x"))).alias("top")]
+    if layout.size <= SUB_PANE_ROWS:
+        spread = long.withColumn("_w", F.explode(_windows_of_pane(layout)))
+        counts = spread.repartition(*group).groupBy(*group, "_c", "_x").agg(F.count(F.lit(1)).alias("_f"))
+        stats = counts.groupBy(*group, "_c").agg(*held, F.percentile("_x", F.lit(0.5), F.col("_f")).alias("median"))
+    else:
+        per_pane = long.groupBy(*own, "_pane", "_c", "_x").agg(F.count(F.lit(1)).alias("_f"))
+        counts = per_pane.withColumn("_w", F.explode(_windows_of_pane(layout))).groupBy(*group, "_c", "_x").agg(F.sum("_f").alias("_f"))
+        spread = long.withColumn("_w", F.explode(_windows_of_pane(layout)))
+        middle = exact_quantiles(spread, "_x", [0.5], [*keys, "_w", "_c"], ["median"])
+        stats = join_on_keys(counts.groupBy(*group, "_c").agg(*held), middle, [*keys, "_w", "_c"])
     return stats.groupBy(*group).agg(
         *[
             F.max(F.when(F.col("_c") == i, F.col(k))).alias(f"{n}_{k}")
