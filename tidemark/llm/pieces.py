@@ -26,6 +26,17 @@ LEAST = float("-inf")
 BELOW = 10.0  # a character without a piece scores this much less than the worst single character
 
 
+class _Known(dict):
+    """Segmentations of words met so far; a new word is segmented when it is asked for."""
+
+    def __init__(self, segment):
+        super().__init__()
+        self.segment = segment
+
+    def __missing__(self, word: str) -> tuple[bytes, float, float]:
+        return self.segment(word)
+
+
 class Vocabulary:
     """Pieces with ids and scores; a blank is written as itself, so the sign SPACE in a text is a character like any other."""
 
@@ -49,28 +60,34 @@ class Vocabulary:
             self.spelled.append(spelled)
         singles = [x for t, (_, x) in self.ids.items() if len(t) == 1 and x > UNUSED]
         self.unknown = min(singles) - BELOW
-        # Every beginning of a piece, so that a walk along a text ends where no piece goes on.
-        self.walk: dict[str, tuple[int, float] | None] = {t[:k]: None for t in self.ids for k in range(1, len(t))}
-        self.walk.update(self.ids)
+        # A tree of characters, so that a walk along a text ends where no piece goes on: [next characters, id or -1, score].
+        self.tree: dict[str, list] = {}
+        for text, (i, score) in self.ids.items():
+            down = self.tree
+            for char in text[:-1]:
+                down = down.setdefault(char, [{}, -1, 0.0])[0]
+            node = down.setdefault(text[-1], [{}, -1, 0.0])
+            node[1], node[2] = i, score
+        self.joined = {t[k : k + 2] for t in self.ids for k in range(len(t) - 1)}
         # Words are cut before blanks and around line ends, unless a piece reaches across.
         crosses = any(" " in t.lstrip(" ") or ("\n" in t and len(t) > 1) for t in self.ids)
         self.words = re.compile(r"(?s).+" if crosses else r" *[^ \n]+| +|\n")
-        self.known: dict[str, tuple[bytes, float, float]] = {}
+        self.known = _Known(self.best)
         self.ranked: dict[tuple[str, int], list[tuple[float, tuple[int, ...]]]] = {}
 
     def edges(self, word: str) -> list[tuple[int, int, float, int]]:
         """The piece lattice: (start, end, score, id) in order of starts; id -1 is a character spelled in bytes."""
-        walk, out, n = self.walk, [], len(word)
+        out, n = [], len(word)
         for i in range(n):
-            single = False
-            for j in range(i + 1, n + 1):
-                hit = walk.get(word[i:j], 0)
-                if hit:
-                    out.append((i, j, hit[1], hit[0]))
-                    if j == i + 1:
-                        single = True
-                elif hit == 0:
+            down, single = self.tree, False
+            for j in range(i, n):
+                node = down.get(word[j])
+                if node is None:
                     break
+                down, piece, s = node
+                if piece >= 0:
+                    out.append((i, j + 1, s, piece))
+                    single = single or j == i
             if not single:
                 out.append((i, i + 1, self.unknown, -1))
         return out
@@ -78,37 +95,71 @@ class Vocabulary:
     def spell(self, word: str, i: int, piece: int) -> tuple[int, ...]:
         return (piece,) if piece >= 0 else tuple(self.bytes[b] for b in word[i].encode())
 
+    def parts(self, word: str) -> list[str]:
+        """The word, cut between characters that no piece holds next to each other: every segmentation is cut there."""
+        joined, out, at = self.joined, [], 0
+        for i in range(1, len(word)):
+            if word[i - 1 : i + 1] not in joined:
+                out.append(word[at:i])
+                at = i
+        out.append(word[at:])
+        return out
+
     def best(self, word: str) -> tuple[bytes, float, float]:
         """Ids (as bytes), score, and how much worse the second segmentation is, of one word."""
         if len(self.known) >= CACHED:
             self.known.clear()
-        hit = self.known[word] = self._best(word)
+        parts = self.parts(word)
+        if len(parts) == 1:
+            hit = self.two_best(word)
+        else:
+            found = [self.known[p] for p in parts]
+            hit = b"".join([f[0] for f in found]), sum([f[1] for f in found]), min([f[2] for f in found])
+        self.known[word] = hit
         return hit
 
-    def _best(self, word: str) -> tuple[bytes, float, float]:
-        edges = self.edges(word)
-        n = len(word)
-        alpha, back = forward(edges, n)
-        path, ids, at = set(), [], n
+    def two_best(self, word: str) -> tuple[bytes, float, float]:
+        """What ``best`` returns, by a forward pass that keeps the two best scores of every prefix."""
+        tree, n = self.tree, len(word)
+        alpha, second, back = [0.0] + [LEAST] * n, [LEAST] * (n + 1), [None] * (n + 1)
+        for i in range(n):
+            a, b = alpha[i], second[i]
+            down, single, j = tree, False, i
+            for char in word[i:]:
+                node = down.get(char)
+                if node is None:
+                    break
+                down, piece, s = node
+                j += 1
+                if piece >= 0:
+                    if j == i + 1:
+                        single = True
+                    score = a + s
+                    if score > alpha[j]:
+                        second[j] = max(alpha[j], b + s)
+                        alpha[j] = score
+                        back[j] = (i, piece)
+                    elif score > second[j]:
+                        second[j] = score
+            if not single:
+                j, score = i + 1, a + self.unknown
+                if score > alpha[j]:
+                    second[j] = max(alpha[j], b + self.unknown)
+                    alpha[j] = score
+                    back[j] = (i, -1)
+                elif score > second[j]:
+                    second[j] = score
+        ids: list[int] = []
+        at = n
         while at:
-            edge = back[at]
-            ids.append(edge)
-            path.add(edge)
-            at = edge[0]
-        # The second segmentation uses an edge that the best does not; the best way through an edge is known from both sides.
-        beta = [LEAST] * n + [0.0]
-        second = LEAST
-        for edge in reversed(edges):
-            i, j, s, _ = edge
-            rest = s + beta[j]
-            if rest > beta[i]:
-                beta[i] = rest
-            if alpha[i] + rest > second and edge not in path:
-                second = alpha[i] + rest
-        flat = [e[3] for e in reversed(ids)]
-        if min(flat) < 0:
-            flat = [x for e in reversed(ids) for x in self.spell(word, e[0], e[3])]
-        return array("i", flat).tobytes(), alpha[n], alpha[n] - second
+            i, piece = back[at]
+            if piece >= 0:
+                ids.append(piece)
+            else:
+                ids += self.spell(word, i, piece)[::-1]
+            at = i
+        ids.reverse()
+        return array("i", ids).tobytes(), alpha[n], alpha[n] - second[n]
 
     def n_best(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         hit = self.ranked.get((word, n))
@@ -163,27 +214,24 @@ def encode(vocabulary: Vocabulary, text: str, n: int = BEST) -> tuple[np.ndarray
     differ in the ``n`` best, as each of them alone is a better change than any
     other word. An edit is (first token, tokens it replaces, new ids).
     """
-    words = vocabulary.words.findall(" " + text) if text else []
-    get, best = vocabulary.known.get, vocabulary.best
-    found = [get(w) or best(w) for w in words]
-    ids = np.frombuffer(b"".join([f[0] for f in found]), np.int32)
-    score = float(sum([f[1] for f in found]))
-    if n < 2 or not found:
+    if not text:
+        return np.zeros(0, np.int32), 0.0, []
+    words = vocabulary.words.findall(" " + text)
+    spelled, scores, gaps = zip(*map(vocabulary.known.__getitem__, words))
+    ids, score = np.frombuffer(b"".join(spelled), np.int32), float(sum(scores))
+    if n < 2:
         return ids, score, []
-    gaps = np.array([f[2] for f in found])
-    near = np.argsort(gaps, kind="stable")[: n - 1] if len(gaps) <= 64 else _least(gaps, n - 1)
-    starts = None
+    gaps = np.array(gaps)
+    near = _least(gaps, min(n - 1, len(gaps)))
     kept: list[tuple[float, list]] = [(0.0, [])]
     for at in sorted(near[np.isfinite(gaps[near])].tolist()):
-        if starts is None:
-            sizes = np.array([len(f[0]) for f in found]) // 4
-            starts = np.cumsum(sizes) - sizes
+        start = sum(map(len, spelled[:at])) // 4
         choices = vocabulary.n_best(words[at], n)
-        first = tuple(np.frombuffer(found[at][0], np.int32).tolist())
-        others = [(s - found[at][1], c) for s, c in choices if c != first]
+        first = tuple(np.frombuffer(spelled[at], np.int32).tolist())
+        others = [(s - scores[at], c) for s, c in choices if c != first]
         grown = list(kept)
         for cost, edits in kept:
-            grown += [(cost + by, [*edits, (int(starts[at]), len(first), c)]) for by, c in others]
+            grown += [(cost + by, [*edits, (start, len(first), c)]) for by, c in others]
         grown.sort(key=lambda x: (-x[0], x[1]))
         kept = grown[:n]
     return ids, score, [(score + cost, edits) for cost, edits in kept[1:]]
@@ -254,8 +302,14 @@ def decode_texts(encoded: DataFrame, model: str = MODEL, ids_col: str = "input_i
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
+        sizes = np.array([len(b) for b in v.spelled], np.int64)
         for part in parts:
-            texts = [None if ids is None else decode(v, ids) for ids in part.column(ids_col).to_pylist()]
+            lists = part.column(ids_col)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            line = b"".join(map(v.spelled.__getitem__, flat.tolist()))
+            ends = np.r_[0, np.cumsum(sizes[flat])][np.cumsum(lists.value_lengths().fill_null(0).to_numpy())]
+            starts = np.r_[0, ends[:-1]]
+            texts = [line[a + 1 : b].decode("utf-8", "replace") if known else None for a, b, known in zip(starts.tolist(), ends.tolist(), lists.is_valid().to_pylist())]
             yield pa.record_batch([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
 
     return in_batches(slim, run, schema)
