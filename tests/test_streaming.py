@@ -46,7 +46,7 @@ def test_buffer_keeps_the_newest_rows(spark):
     assert [r["seq"] for r in kept] == list(range(80, 180)) and kept[0]["n"] == 80
     notes = spark.createDataFrame([(10, "gone"), (150, "kept")], "row_index long, corrected_label string")
     assert [r["corrected_label"] for r in buffer.retain(notes).collect()] == ["kept"]
-    assert buffer._parts().filter("seq < 60 AND late IS NOT NULL").count() == 0
+    assert buffer._parts().agg(F.min("seq")).first()[0] == 60  # the first part holds no kept row and is deleted
 
 
 @pytest.mark.parametrize("size,overlap", [(6, 50), (5, 0), (10, 90)])

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.ordered import with_row_id
+from tidemark.plans.session import remove_folder
 
 # Rows a buffer keeps by default, and the fewest it may keep.
 DEFAULT_ROWS, FEWEST_ROWS = 100_000, 100
 
 
 class StreamBuffer:
-    """Append-only parts numbered in arrival order; reading keeps the newest rows.
+    """Parts numbered in arrival order; reading keeps the newest rows and writing deletes parts that hold none of them.
 
     Row numbers never change, so annotations stay attached to their rows; those
     of evicted rows drop out of a semi-join. A batch that is replayed after a
@@ -49,6 +50,16 @@ class StreamBuffer:
         count = self.spark.read.parquet(target).count()
         counter = self.spark.createDataFrame([(first, first + count)], "first long, following long")
         counter.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/counters/batch={int(batch)}")
+        self._evict(int(batch))
+
+    def _evict(self, batch: int) -> None:
+        """Delete parts whose rows are all older than the newest ``max_rows``; only the current batch can be replayed."""
+        counters = self._load("counters")
+        newest = int(counters.agg(F.max("following").alias("m")).first()["m"])
+        old = counters.filter((F.col("following") <= newest - self.max_rows) & (F.col("batch") < batch)).select("batch").collect()
+        for r in old:
+            for what in ("rows", "counters"):
+                remove_folder(self.spark, f"{self.path}/{what}/batch={r['batch']}")
 
     def sink(self, order_by: list[str]) -> Callable[[DataFrame, int], None]:
         """Function for ``writeStream.foreachBatch``."""
