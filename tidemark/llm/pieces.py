@@ -18,7 +18,7 @@ from tidemark.llm.common import in_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BEST = 4  # segmentations of a text
-CACHED = 500_000  # words whose segmentation a worker remembers; it starts anew when full
+CACHED = 400_000  # words whose segmentation a worker remembers, and as many older ones
 NORMAL, BYTE = 1, 6  # kinds of pieces in the model file
 SPACE = "▁"  # how the vocabulary writes a blank
 UNUSED = -1e8  # pieces below this score are there for decoding
@@ -27,14 +27,21 @@ BELOW = 10.0  # a character without a piece scores this much less than the worst
 
 
 class _Known(dict):
-    """Segmentations of words met so far; a new word is segmented when it is asked for."""
+    """Segmentations of words met lately. When full, it becomes the older half; what is met again there comes back."""
 
     def __init__(self, segment):
         super().__init__()
-        self.segment = segment
+        self.segment, self.older = segment, {}
 
     def __missing__(self, word: str) -> tuple[bytes, float, float]:
-        return self.segment(word)
+        hit = self.older.get(word)
+        if hit is None:
+            hit = self.segment(word)
+        if len(self) >= CACHED:
+            self.older = dict(self)
+            self.clear()
+        self[word] = hit
+        return hit
 
 
 class Vocabulary:
@@ -107,16 +114,11 @@ class Vocabulary:
 
     def best(self, word: str) -> tuple[bytes, float, float]:
         """Ids (as bytes), score, and how much worse the second segmentation is, of one word."""
-        if len(self.known) >= CACHED:
-            self.known.clear()
         parts = self.parts(word)
         if len(parts) == 1:
-            hit = self.two_best(word)
-        else:
-            found = [self.known[p] for p in parts]
-            hit = b"".join([f[0] for f in found]), sum([f[1] for f in found]), min([f[2] for f in found])
-        self.known[word] = hit
-        return hit
+            return self.two_best(word)
+        spelled, scores, gaps = zip(*[self.known[p] for p in parts])
+        return b"".join(spelled), sum(scores), min(gaps)
 
     def two_best(self, word: str) -> tuple[bytes, float, float]:
         """What ``best`` returns, by a forward pass that keeps the two best scores of every prefix."""
@@ -264,10 +266,24 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-_OUT = pa.struct([("score", pa.float64()), ("edits", pa.list_(pa.struct([("start", pa.int32()), ("drop", pa.int32()), ("ids", pa.list_(pa.int32()))])))])
 ENCODED = "input_ids array<int>, n_tokens long, score double, nbest array<struct<score:double,edits:array<struct<start:int,drop:int,ids:array<int>>>>>"
 
 
+def _lists(counts: list[int], values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.array(counts, np.int64))].astype(np.int32)), values)
+
+
+def _alternatives(texts: list[list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]) -> pa.ListArray:
+    """The nbest column of a batch."""
+    ranked = [a for t in texts for a in t]
+    edits = [e for _, es in ranked for e in es]
+    ids = _lists([len(e[2]) for e in edits], pa.array([i for e in edits for i in e[2]], pa.int32()))
+    places = [pa.array([e[k] for e in edits], pa.int32()) for k in (0, 1)]
+    changes = _lists([len(es) for _, es in ranked], pa.StructArray.from_arrays([*places, ids], ["start", "drop", "ids"]))
+    scored = pa.StructArray.from_arrays([pa.array([s for s, _ in ranked], pa.float64()), changes], ["score", "edits"])
+    return _lists([len(t) for t in texts], scored)
+
+
 def encode_texts(docs: DataFrame, model: str = MODEL, n: int = BEST, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with input_ids, n_tokens, score and nbest added (columns of these names are replaced).
 
@@ -288,8 +304,7 @@ def encode_texts(docs: DataFrame, model: str = MODEL, n: int = BEST, text_col: s
             sizes = np.array([len(g[0]) for g in got], np.int64)
             flat = np.concatenate([g[0] for g in got]) if got else np.zeros(0, np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat, pa.int32()))
-            nbest = [[{"score": s, "edits": [{"start": a, "drop": d, "ids": list(c)} for a, d, c in edits]} for s, edits in g[2]] for g in got]
-            columns = [*part.columns, lists, pa.array(sizes), pa.array([g[1] for g in got], pa.float64()), pa.array(nbest, pa.list_(_OUT))]
+            columns = [*part.columns, lists, pa.array(sizes), pa.array([g[1] for g in got], pa.float64()), _alternatives([g[2] for g in got])]
             yield pa.record_batch(columns, [*part.schema.names, "input_ids", "n_tokens", "score", "nbest"])
 
     return in_batches(slim, run, schema)
