@@ -3,6 +3,7 @@
 import hashlib
 import heapq
 import random
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -118,6 +119,21 @@ def test_texts_survive_encoding(spark):
     assert pieces.encode_texts(docs.limit(0)).count() == 0
 
 
+def test_long_words_are_ranked_without_a_copy_of_the_tail_per_step():
+    v = pieces.vocabulary(pieces.MODEL)
+    rng = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    for word in ["".join(rng.choices(letters, k=90)), "a" * 70 + "é🙂" + "b" * 20, "then" * 20]:
+        want, got = pieces.n_best(v, word, 4), v.n_best(word, 4)
+        assert [round(s, 6) for s, _ in got] == [round(s, 6) for s, _ in want] and len({i for _, i in got}) == 4
+        assert all(b"".join(v.spelled[x] for x in i).decode() == word for _, i in got)
+    tracemalloc.start()
+    v.n_best("".join(rng.choices(letters, k=8000)), 4)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40e6  # 137 MB of tails before
+
+
 def test_folding():
     same = {toxicity.fold(t) for t in ("idiot", "1D10T!", "ıdıоt", "ｉｄｉｏｔ", "i​diot", '"Idi0t,"')}
     assert len(same) == 1

@@ -23,6 +23,7 @@ NORMAL, BYTE = 1, 6  # kinds of pieces in the model file
 SPACE = "▁"  # how the vocabulary writes a blank
 UNUSED = -1e8  # pieces below this score are there for decoding
 LEAST = float("-inf")
+LONG = 64  # characters above which a word's segmentations are ranked from chains and not remembered
 BELOW = 10.0  # a character without a piece scores this much less than the worst single character
 
 
@@ -164,6 +165,8 @@ class Vocabulary:
         return array("i", ids).tobytes(), alpha[n], alpha[n] - second[n]
 
     def n_best(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        if len(word) > LONG:
+            return n_best_of_long(self, word, n)
         hit = self.ranked.get((word, n))
         if hit is None:
             if len(self.ranked) >= CACHED // 10:
@@ -208,6 +211,70 @@ def n_best(vocabulary: Vocabulary, word: str, n: int) -> list[tuple[float, tuple
     return done
 
 
+class _Tail:
+    """The last piece added to a segmentation from the end, and what was there before it.
+
+    ``jump`` leads further back, so that the place where two chains part is
+    found in steps that grow with the logarithm of their length.
+    """
+
+    __slots__ = ("score", "own", "up", "depth", "jump")
+
+    def __init__(self, score: float, own: tuple[int, ...], up: _Tail | None):
+        self.score, self.own, self.up = score, own, up
+        if up is None:
+            self.depth, self.jump = 0, self
+        else:
+            self.depth = up.depth + 1
+            far = up.jump
+            self.jump = far.jump if up.depth - far.depth == far.depth - far.jump.depth else up
+
+    def __lt__(self, other: _Tail) -> bool:
+        """Higher scores first, of equal ones the first by ids from the end."""
+        if self.score != other.score:
+            return self.score > other.score
+        a, b = self._at(other.depth), other._at(self.depth)
+        if a is b:
+            return self.depth < other.depth
+        while a.up is not b.up:
+            a, b = (a.jump, b.jump) if a.jump is not b.jump else (a.up, b.up)
+        return a.own < b.own
+
+    def _at(self, depth: int) -> _Tail:
+        at = self
+        while at.depth > depth:
+            at = at.jump if at.jump.depth >= depth else at.up
+        return at
+
+    def ids(self) -> tuple[int, ...]:
+        out, at = [], self
+        while at.up is not None:
+            out += at.own[::-1]
+            at = at.up
+        return tuple(out)
+
+
+def n_best_of_long(vocabulary: Vocabulary, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+    """What ``n_best`` returns, with the ``n`` best tails of every place as chains: memory grows with the word's length, not its square."""
+    size = len(word)
+    best: list[list[_Tail]] = [[] for _ in range(size)] + [[_Tail(0.0, (), None)]]
+    for i in range(size - 1, -1, -1):
+        found, single, down = [], False, vocabulary.tree
+        for j in range(i, size):
+            node = down.get(word[j])
+            if node is None:
+                break
+            down, piece, s = node
+            if piece >= 0:
+                single = single or j == i
+                found += [_Tail(s + tail.score, (piece,), tail) for tail in best[j + 1]]
+        if not single:
+            own = vocabulary.spell(word, i, -1)[::-1]
+            found += [_Tail(vocabulary.unknown + tail.score, own, tail) for tail in best[i + 1]]
+        best[i] = heapq.nsmallest(n, found)
+    return [(tail.score, tail.ids()) for tail in best[0]]
+
+
 def encode(vocabulary: Vocabulary, text: str, n: int = BEST) -> tuple[np.ndarray, float, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]:
     """Best ids and score of a whole text, and its next ``n - 1`` segmentations as edits of the best.
 
