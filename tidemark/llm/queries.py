@@ -89,8 +89,8 @@ FROM d LEFT JOIN l USING (r) GROUP BY d.r, d.doc_id
 
 @query("op10_secret_scan", _secret_sql())
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Credentials in all documents; a document is a repository and its source the owner."""
-    found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    """Credentials in all documents; a document is a repository and its source the owner. The SQL labels by owners alone."""
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents"), shared_repos=None)
     base = F.filter("spans", lambda s: s["kind"] < len(secrets.BASE))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     owned = lambda label: F.size(F.filter("owned", lambda x: x == label)).cast("long")
