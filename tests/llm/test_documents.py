@@ -1,5 +1,6 @@
 """Operators on documents against brute force and in odd cases."""
 
+import hashlib
 import itertools
 import random
 import re
@@ -116,6 +117,38 @@ def test_line_templates(spark):
     assert all(got[i].text == copies for i in range(8, 15))  # copies are left to document dedup
 
 
+def sentence(rng, n):
+    return " ".join("".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(n))
+
+
+def least_line(rng, n, tries=400):
+    """A line whose own hash is below that of nearly any other."""
+    return min((sentence(rng, n) for _ in range(tries)), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+
+
+def test_a_line_with_a_low_hash_goes_from_different_documents(spark):
+    rng = random.Random(12)
+    low, beside = least_line(rng, 7, 4000), sentence(rng, 8)
+    texts = ["\n".join([sentence(rng, 9), low, beside, sentence(rng, 9), sentence(rng, 9)]) for _ in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in lines.dedup_lines(docs).collect()}
+    assert all(low not in got[i] and beside not in got[i] and len(got[i].split("\n")) == 3 for i in range(12))
+
+
+def test_lines_of_near_copies_stay(spark):
+    rng = random.Random(14)
+    base = [sentence(rng, 12) for _ in range(10)]
+    texts = ["\n".join(base)] * 10
+    for _ in range(30):
+        near = list(base)
+        words = near[(at := rng.randrange(10))].split()
+        words[rng.randrange(12)] = sentence(rng, 1)
+        near[at] = " ".join(words)
+        texts.append("\n".join(near))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.text for r in lines.dedup_lines(docs).collect()} == dict(enumerate(texts))
+
+
 def test_lines_of_odd_rows(spark):
     out = lines.dedup_lines(odd(spark), min_docs=1, min_share=0.0)
     assert out.columns == [*[c for c in odd(spark).columns if c != "n_lines"], "n_lines", "n_dropped"]

@@ -126,8 +126,8 @@ FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
 
 @query("op3_line_dedup", OP3_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without the lines whose template recurs."""
-    found = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    """All documents without the lines whose template recurs, by the rule that the SQL states."""
+    found = lines.dedup_lines(table(spark, sf_dir, "documents"), min_share=lines.MIN_SHARE)
     return found.select("doc_id", "text", "n_lines", "n_dropped")
 
 
