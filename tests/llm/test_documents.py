@@ -135,6 +135,15 @@ def test_a_line_with_a_low_hash_goes_from_different_documents(spark):
     assert all(low not in got[i] and beside not in got[i] and len(got[i].split("\n")) == 3 for i in range(12))
 
 
+def test_copies_of_one_document_do_not_keep_a_line_in_the_others(spark):
+    rng = random.Random(13)
+    line = sentence(rng, 8)
+    texts = ["\n".join([sentence(rng, 9), line, sentence(rng, 9)]) for _ in range(8)]
+    docs = spark.createDataFrame(list(enumerate(texts + texts[:1] * 90)), "doc_id long, text string")
+    got = lines.dedup_lines(docs).collect()
+    assert len(got) == 98 and all(line not in r.text and r.n_dropped == 1 for r in got)
+
+
 def test_lines_of_near_copies_stay(spark):
     rng = random.Random(14)
     base = [sentence(rng, 12) for _ in range(10)]
