@@ -144,6 +144,21 @@ def test_copies_of_one_document_do_not_keep_a_line_in_the_others(spark):
     assert len(got) == 98 and all(line not in r.text and r.n_dropped == 1 for r in got)
 
 
+def test_a_leaf_has_all_its_templates(spark):
+    rng = random.Random(15)
+    # Twelve tokens, the first three variable: one leaf with an exact line that is most frequent and two templates with varying words.
+    forms = ["disk volume {} was mounted read only by host", "user {} signed in from trusted office network again"]
+    texts = []
+    for i in range(9):
+        own = lambda: sentence(rng, 11)
+        stamped = [f"2024-01-0{i} 10:0{i} {i} " + f.format(sentence(rng, 1)) for f in forms]
+        texts.append("\n".join([own(), stamped[0], own(), "1 2 3 the service is up and ready to run now", stamped[1], own(), own()]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in lines.dedup_lines(docs).collect():
+        rows = texts[r.doc_id].split("\n")
+        assert r.text.split("\n") == [rows[0], rows[2], rows[5], rows[6]]
+
+
 def test_lines_of_near_copies_stay(spark):
     rng = random.Random(14)
     base = [sentence(rng, 12) for _ in range(10)]
