@@ -253,3 +253,14 @@ def test_pipeline_takes_odd_rows(spark):
         if name == "line_dedup":
             assert out.count() == len(rows)
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_line_dedup_leaves_one_of_documents_that_would_be_emptied(spark):
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    texts = [f"please ask the {word()} desk for a free copy of {word()} leaflets today" for _ in range(8)]
+    texts += ["\n".join([f"one two three {word()} {word()}", f"this site needs {word()} and scripts to work for all of us", *[" ".join(word() for _ in range(12)) for _ in range(2)]]) for _ in range(9)]
+    docs = spark.createDataFrame([(i + 1, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, SF).collect()}
+    assert sorted(got) == [1, *range(9, 18)] and got[1] == texts[0]
+    assert all("this site" not in got[i] and len(got[i].split("\n")) == 3 for i in range(9, 18))
