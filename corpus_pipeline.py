@@ -30,12 +30,15 @@ def _lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component: the one with the smallest doc_id, a missing id last."""
     prepare(spark)
-    spare = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)  # above any real id
-    named = docs.withColumn("__id", F.coalesce(F.col("doc_id"), spare))
-    found = simhash.near_duplicates(named, shingle=4, max_bits=4, id_col="__id")
-    stay = Scratch(spark, "stay").keep("ids", found.filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct())
-    first = Window.partitionBy("__id").orderBy(row_key("doc_id", "text"))
-    kept = named.join(stay.hint("merge"), "__id", "left_semi").withColumn("__n", F.row_number().over(first)).filter("__n = 1")
+    scratch = Scratch(spark, "stay")
+    named = docs.withColumn("__row", row_key("doc_id", "text"))
+    found = simhash.near_duplicates(named, shingle=4, max_bits=4, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id").distinct()
+    # Every row of a component is one of its id and text, so clashing ids do not meet.
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))["__row"]
+    ids = scratch.keep("ids", named.select("__row", "doc_id").distinct())
+    stay = scratch.keep("rows", ids.join(found.hint("merge"), "__row").groupBy("component_id").agg(least.alias("__row")).select("__row"))
+    first = Window.partitionBy("__row").orderBy("__row")
+    kept = named.join(stay.hint("merge"), "__row", "left_semi").withColumn("__n", F.row_number().over(first)).filter("__n = 1")
     return kept.select(docs.columns)
 
 

@@ -264,3 +264,12 @@ def test_line_dedup_leaves_one_of_documents_that_would_be_emptied(spark):
     got = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, SF).collect()}
     assert sorted(got) == [1, *range(9, 18)] and got[1] == texts[0]
     assert all("this site" not in got[i] and len(got[i].split("\n")) == 3 for i in range(9, 18))
+
+
+def test_near_duplicates_keep_one_row_of_each_component_where_ids_clash(spark):
+    rng = random.Random(17)
+    a, b, c = (" ".join("".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(80)) for _ in range(3))
+    rows = [(1, a), (1, b), (2, b), (1, b), (None, c), (7, c), (None, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, SF).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, a), (1, b), (7, c), (None, "alone")], key=str)
