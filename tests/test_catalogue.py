@@ -34,3 +34,17 @@ def test_query_matches_sql(spark, name):
     got = _rows(df.columns, df.collect())
     rel = con.sql(entrypoint.oracle_sql()[name])
     assert got == _rows(rel.columns, rel.fetchall())
+
+
+def test_entry_imports_without_llm(tmp_path):
+    """The rest of the library registers its queries when the training-data folder and the pipeline are gone."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = tmp_path / "repo"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') or k == 'pipeline' for k in q); print(len(q))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr
