@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, lines, pieces, quality, secrets, simhash, suffix, topk, toxicity, training
-from tidemark.llm.common import ORACLES, QUERIES, query, table  # noqa: F401
+from tidemark.llm import chat, decontaminate, lexical, lines, pieces, quality, secrets, simhash, suffix, topk, toxicity, training
+from tidemark.llm.common import ORACLES, QUERIES, Scratch, query, table  # noqa: F401
 
 
 @query("op1_simhash_near_dedup")
@@ -183,3 +183,25 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix.dedup_strings(table(spark, sf_dir, "documents"), length=200, keep_first=False)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+                  coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), []) AS t FROM documents),
+totals AS (SELECT count(*) FILTER (len(t) > 0) AS big_n, sum(len(t)) AS big_l FROM d),
+dm AS (SELECT r, doc_id, t, 10 + (90 * len(t)::BIGINT * big_n) // big_l AS m FROM d, totals WHERE len(t) > 0),
+tf AS (SELECT r, doc_id, m, term, count(*) AS tf FROM (SELECT r, doc_id, m, unnest(t) AS term FROM dm) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+w AS (SELECT item_id, term, floor(1000 * ln((2.0 * big_n + 2) / (2.0 * df + 1)))::BIGINT AS w FROM q JOIN df USING (term), totals),
+s AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS score FROM w JOIN tf USING (term) GROUP BY item_id, r, doc_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST, r) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id::BIGINT AS doc_id, score::BIGINT AS score FROM k WHERE rank <= 10
+"""
+
+
+@query("op12_ranked_lexical_search", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of all for every benchmark item, by the length-stratified index."""
+    scratch = Scratch(spark, "lexical")
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10, spark_scratch=scratch)
