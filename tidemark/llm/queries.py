@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, lexical, lines, pieces, quality, secrets, simhash, suffix, topk, toxicity, training
+from tidemark.llm import chat, decontaminate, lexical, lines, packing, pieces, quality, secrets, simhash, suffix, topk, toxicity, training
 from tidemark.llm.common import ORACLES, QUERIES, Scratch, query, table  # noqa: F401
 
 
@@ -205,3 +206,11 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of all for every benchmark item, by the length-stratified index."""
     scratch = Scratch(spark, "lexical")
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10, spark_scratch=scratch)
+
+
+@query("op11_best_fit_packing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces packed into sequences of at most 1024 ids by minimum bin slack."""
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2,
+                                    with_ids=False, scratch=Scratch(spark, "packing"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
