@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, lexical, lines, packing, pieces, quality, secrets, simhash, suffix, topk, toxicity, training
+from tidemark.llm import alignment, chat, decontaminate, lexical, lines, packing, pieces, quality, secrets, simhash, suffix, topk, toxicity, training
 from tidemark.llm.common import ORACLES, QUERIES, Scratch, query, table  # noqa: F401
 
 
@@ -214,3 +214,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2,
                                     with_ids=False, scratch=Scratch(spark, "packing"))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op13_cross_tokenizer_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document aligned between the byte-level BPE and the SentencePiece model, with corpus-wide link counts."""
+    return alignment.align_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"),
+                                 scratch=Scratch(spark, "alignment"))
