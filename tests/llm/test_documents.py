@@ -174,10 +174,13 @@ def test_lines_of_near_copies_stay(spark):
 
 
 def test_lines_of_odd_rows(spark):
-    out = lines.dedup_lines(odd(spark), min_docs=1, min_share=0.0)
-    assert out.columns == [*[c for c in odd(spark).columns if c != "n_lines"], "n_lines", "n_dropped"]
+    clashing = odd(spark).select("*", *[F.lit(7).alias(c) for c in ("gone", "__row", "__n", "own", "doc", "template", "line", "leaf")])
+    out = lines.dedup_lines(clashing, min_docs=1)
+    assert out.columns == [*[c for c in clashing.columns if c != "n_lines"], "n_lines", "n_dropped"]
+    assert {tuple(r) for r in out.select("gone", "__row", "__n", "own", "doc", "template", "line", "leaf").collect()} == {(7,) * 8}
     got = sorted(out.select("doc_id", "text", "n_dropped").collect(), key=str)
-    want = [(1, None, 0), (2, "", 0), (3, "", 1), (None, "", 1), (4, "", 1), (4, "", 1), (5, " \n\t\n ", 0)]
+    # Every line recurs in one document; of those emptied alike, the smallest id keeps its text.
+    want = [(1, None, 0), (2, "", 0), (3, "one", 0), (None, "two words here and there", 0), (4, "", 1), (4, "", 1), (5, " \n\t\n ", 0)]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert lines.dedup_lines(odd(spark).limit(0)).count() == 0
 

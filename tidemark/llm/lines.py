@@ -15,7 +15,6 @@ LEAD = 3  # leading tokens on the way to a leaf, below the token count
 SEGMENTS = 6  # positions at which the rest of a line is compared with its leaf's template
 SIMILAR = 0.6  # share of equal segments at which a line takes its leaf's template
 MIN_DOCS = 5  # different documents in which a dropped template occurs
-MIN_SHARE = 0.2  # by the rule of the SQL: their share of all rows with it, or the rows are copies of each other
 WORDS = 3  # consecutive words of a document that its sketch hashes together
 SKETCH = 64  # least hashes of a document
 PROBES = 12  # of these, how many look for near copies
@@ -127,7 +126,7 @@ def families(docs: DataFrame, text_col: str, key: Column, scratch: Scratch) -> D
 
 
 def dedup_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_share: float | None = None, scratch: Scratch | None = None
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, scratch: Scratch | None = None
 ) -> DataFrame:
     """The rows of ``docs`` with ``text_col`` cleaned, and ``n_lines`` and ``n_dropped`` beside it.
 
@@ -142,10 +141,6 @@ def dedup_lines(
     lines, those with the same templates, the one with the smallest id (a
     missing one last) keeps its text.
 
-    A ``min_share`` asks for the rule of the SQL of op3 instead: copies are
-    told by their smallest line hash, a leaf has one template, and a template is kept if the share of
-    different documents among all rows with it is below ``min_share``.
-
     Blank lines are kept, null texts stay null, empty ones empty. Repeated rows
     come back as often as they came and count once. All other columns are
     passed through untouched, except ones named n_lines or n_dropped, which
@@ -153,27 +148,29 @@ def dedup_lines(
     """
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     docs = docs.drop("n_lines", "n_dropped")
+    names = docs.columns
+    inner = docs.toDF(*[f"c{i}" for i in range(len(names))])  # no column of the input can clash with the ones made here
+    found = _dedup(inner, f"c{names.index(id_col)}", f"c{names.index(text_col)}", min_docs, scratch)
+    return found.toDF(*names, "n_lines", "n_dropped")
+
+
+def _dedup(docs: DataFrame, id_col: str, text_col: str, min_docs: int, scratch: Scratch) -> DataFrame:
     key = row_key(id_col, text_col)
     rows = scratch.keep("rows", line_rows(docs, id_col, text_col, key))
     of = scratch.keep("templates", templates(rows, scratch))
-    if min_share is None:
-        of = leaf_templates(rows, of, scratch)
-        held = rows.select("line", "row").join(families(docs, text_col, key, scratch).hint("merge"), "row").select("line", "doc").distinct()
-        counts = held.join(of, "line").groupBy("template").agg(F.count_distinct("doc").alias("docs"))
-        frequent = counts.filter(F.col("docs") >= min_docs)
-    else:
-        counts = rows.select("line", "row", "doc").join(of, "line").groupBy("template").agg(F.count_distinct("row").alias("rows"), F.count_distinct("doc").alias("docs"))
-        frequent = counts.filter((F.col("docs") >= min_docs) & (F.col("docs") >= F.col("rows") * F.lit(min_share))).select("template", "docs")
+    of = leaf_templates(rows, of, scratch)
+    held = rows.select("line", "row").join(families(docs, text_col, key, scratch).hint("merge"), "row").select("line", "doc").distinct()
+    counts = held.join(of, "line").groupBy("template").agg(F.count_distinct("doc").alias("docs"))
+    frequent = counts.filter(F.col("docs") >= min_docs)
     widest = F.max_by("template", F.struct("docs", "template"))  # of those that a line fits
     bad = scratch.keep("bad", of.join(scratch.keep("frequent", frequent), "template").groupBy("line").agg(widest.alias("template")))
     gone = rows.select("row", "id", "own", "pos", "line").join(bad.hint("merge"), "line").groupBy("row")
     gone = gone.agg(F.collect_set("pos").alias("gone"), F.xxhash64(F.array_sort(F.collect_set("template"))).alias("form"), F.first("own").alias("own"), F.first("id").alias("id"))
     gone = scratch.keep("gone", gone)
-    if min_share is None:
-        emptied = gone.filter(F.size("gone") == F.col("own")).groupBy("form").agg(F.min(F.struct(F.col("id").isNull(), "id", "row"))["row"].alias("row"))
-        gone = gone.join(scratch.keep("stay", emptied.select("row")).hint("merge"), "row", "left_anti")
+    emptied = gone.filter(F.size("gone") == F.col("own")).groupBy("form").agg(F.min(F.struct(F.col("id").isNull(), "id", "row"))["row"].alias("row"))
+    gone = gone.join(scratch.keep("stay", emptied.select("row")).hint("merge"), "row", "left_anti")
     gone = gone.select("row", "gone")
-    scratch.drop("rows", "lines", "seeds", "templates", "frequent", "bad", *(["all_templates", "families"] if min_share is None else []))
+    scratch.drop("rows", "lines", "seeds", "templates", "frequent", "bad", "all_templates", "families")
     # Joined by shuffle at any size: what is gone grows with the documents.
     lines = F.split(F.col(text_col), "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")
@@ -181,4 +178,4 @@ def dedup_lines(
     marked = docs.withColumn("__row", key).join(gone.withColumnRenamed("row", "__row").hint("merge"), "__row", "left")
     changed = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(kept)
     sizes = [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped")]
-    return marked.select(*[changed.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], *sizes)
+    return marked.select(*[changed.alias(c) if c == text_col else F.col(c) for c in docs.columns], *sizes)
