@@ -84,3 +84,16 @@ def test_documents_are_packed_whole(spark, monkeypatch):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack_documents(docs, BPE, scratch=Scratch(spark, "t")).count() == 0
+
+
+def test_fast_encoder_gives_the_ids_of_tokenizers():
+    import pyarrow.parquet as pq
+
+    from tidemark.llm import tokens
+
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    texts += ["a <|endoftext|>b", "<|endoftext|>", "x<|endoftext|><|endoftext|> y", "naïve  \n\n 東京 🎉\r\n\t x", "   ", "it's 'll", ""]
+    tok = Tokenizer.from_file(BPE)
+    assert tokens.encode_bytes_bpe(BPE, packing.PATTERN, texts) == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    tok.encode_special_tokens = True
+    assert tokens.encode_bytes_bpe(BPE, packing.PATTERN, texts, plain_specials=True) == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]

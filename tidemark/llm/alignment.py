@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import tokens
 from tidemark.llm.common import Scratch
+from tidemark.llm.packing import PATTERN
 
 BROADCAST_PAIRS = 2_000_000  # tables of linked id pairs up to this many rows go to every task; larger ones are joined by shuffle
 ROW_BITS = 40  # a task's number sits above this bit of a text's row key
@@ -68,14 +69,14 @@ def _joined(parts: list[bytes], ids: list[int]) -> bytes:
     return b"".join(map(parts.__getitem__, ids))
 
 
-def align_batch(texts: list[str | None], a_path: str, b_path: str) -> tuple[dict, pa.Table, pa.Table]:
+def align_batch(texts: list[str | None], a_path: str, b_path: str, pattern: str = PATTERN) -> tuple[dict, pa.Table, pa.Table]:
     """Per text (n_a, n_b, n_groups, n_links, groups_sha256), its links with counts (doc, a, b, k) and the batch's pair counts (a, b, k)."""
-    tok_a, model_b = tokens.byte_bpe(a_path, plain_specials=True), tokens.piece_model(b_path)
+    model_b = tokens.piece_model(b_path)
     a_bytes, b_bytes = tokens.byte_bpe_bytes(a_path), tokens.piece_bytes(b_path)
     a_sizes = np.array([len(x) for x in a_bytes], np.int64)
     b_sizes = np.array([len(x) for x in b_bytes], np.int64)
     plain = ["" if t is None else t for t in texts]
-    a_ids = [e.ids for e in tok_a.encode_batch([" " + t for t in plain], add_special_tokens=False)]
+    a_ids = tokens.encode_bytes_bpe(a_path, pattern, [" " + t for t in plain], plain_specials=True)
     b_ids = model_b.encode(plain, num_threads=1)
     keep = np.array([bool(t) and _joined(a_bytes, a) == (" " + t).encode() and _joined(b_bytes, b) == (" " + t).encode()
                      for t, a, b in zip(plain, a_ids, b_ids)], bool)

@@ -33,6 +33,9 @@ from pyspark.sql import functions as F
 from tidemark.llm import tokens
 from tidemark.llm.common import Scratch
 
+# Fixed value: the split of texts before the merges of GPT-2-style byte-level vocabularies.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 GROUP_PIECES = 200_000  # pieces packed together in one task
 SHIFT = 32  # a group's number sits above this bit of a sequence id
 
@@ -53,14 +56,18 @@ def ids_crc32(ids: np.ndarray) -> int:
 
 
 def piece_table(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, with_ids: bool = True,
-                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, ids): the pieces of every document; ``ids`` is null unless ``with_ids``."""
+                id_col: str = "doc_id", text_col: str = "text", pattern: str = PATTERN) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, ids): the pieces of every document; ``ids`` is null unless ``with_ids``.
+
+    Ids are those of the byte-level BPE file ``tokenizer`` without added
+    tokens around a text (special strings inside it are special tokens);
+    ``pattern`` is its split before the merges.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokens.byte_bpe(tokenizer)
         for batch in batches:
             texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
-            ids_of = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+            ids_of = tokens.encode_bytes_bpe(tokenizer, pattern, texts)
             out = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": [], "ids": []}
             for doc, ids in zip(batch.column(0).to_pylist(), ids_of):
                 ids = np.asarray([*ids, end_id], dtype=np.int64)
@@ -148,6 +155,6 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024, scratch: Scratch | None
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, with_ids: bool = True,
-                   id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+                   id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, pattern: str = PATTERN) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset) for every piece of every document."""
-    return pack_pieces(piece_table(docs, tokenizer, capacity, end_id, with_ids, id_col, text_col), capacity, scratch)
+    return pack_pieces(piece_table(docs, tokenizer, capacity, end_id, with_ids, id_col, text_col, pattern), capacity, scratch)

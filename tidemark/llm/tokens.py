@@ -18,6 +18,31 @@ def byte_bpe(path: str, plain_specials: bool = False):
     return tok
 
 
+@functools.lru_cache(maxsize=4)
+def byte_bpe_encoder(path: str, pattern: str):
+    """The vocabulary of a byte-level BPE file as a ``tiktoken`` encoding: the same ids, several times faster.
+
+    A token's rank is its id, which is the order of the merges in these
+    vocabularies; ``pattern`` is the split before the merges. Tests compare the
+    ids with those of ``tokenizers``.
+    """
+    import tiktoken
+
+    tok = byte_bpe(path)
+    alphabet = byte_level_alphabet()
+    specials = {t.content: i for i, t in tok.get_added_tokens_decoder().items()}
+    ranks = {bytes(alphabet[c] for c in token): i for token, i in tok.get_vocab(with_added_tokens=False).items() if token not in specials}
+    return tiktoken.Encoding(os.path.basename(path), pat_str=pattern, mergeable_ranks=ranks, special_tokens=specials)
+
+
+def encode_bytes_bpe(path: str, pattern: str, texts: list[str], plain_specials: bool = False) -> list[list[int]]:
+    """Ids of each text without added tokens around it; the strings of special tokens are those tokens unless ``plain_specials``."""
+    enc = byte_bpe_encoder(path, pattern)
+    if plain_specials:
+        return [enc.encode_ordinary(t) for t in texts]
+    return [enc.encode(t, allowed_special="all") for t in texts]
+
+
 @functools.lru_cache(maxsize=4)
 def piece_model(path: str):
     import sentencepiece
