@@ -231,7 +231,7 @@ WITH g AS (SELECT c_acctbal::DOUBLE - lag(c_acctbal::DOUBLE) OVER (ORDER BY c_ac
 SELECT row_number() OVER (ORDER BY gap)::BIGINT AS step, round(gap, 6) + 0.0::DOUBLE AS distance FROM g WHERE gap IS NOT NULL""")
 def linkage_distances(spark, sf_dir):
     """Single-linkage merge heights of all customers' balances."""
-    return rounded(cl.linkage_distances(_balances(spark, sf_dir)), ["distance"])
+    return rounded(cl.linkage_distances(_balances(spark, sf_dir), linkage="single"), ["distance"])
 
 
 @query("single_linkage_clusters", """
@@ -246,6 +246,34 @@ def single_linkage_clusters(spark, sf_dir):
     return cl.hierarchical(_balances(spark, sf_dir), 7, "single")
 
 
+def _parts(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return part.select(F.col("p_partkey").alias("id"), F.array(F.col("p_size") / 10.0, F.col("p_retailprice") / 100.0).alias("x"))
+
+
+# Ward's merge costs, height squared over two, add up to the total sum of squares about the mean, whatever the tree.
+@query("ward_merge_cost", """
+WITH p AS (SELECT p_size / 10.0 AS a, p_retailprice / 100.0 AS b FROM part)
+SELECT (count(*) - 1)::BIGINT AS merges, round(sum(power(a - (SELECT avg(a) FROM p), 2) + power(b - (SELECT avg(b) FROM p), 2)), 3) + 0.0::DOUBLE AS total_cost FROM p""")
+def ward_merge_cost(spark, sf_dir):
+    """Ward's tree of all parts by size and price, checked by the sum of its merge costs."""
+    merges = cl.ward_merges(_parts(spark, sf_dir))
+    return merges.agg(F.count(F.lit(1)).alias("merges"), F.round(F.sum(F.col("height") * F.col("height") / 2), 3).alias("total_cost"))
+
+
+@query("ward_clusters")
+def ward_clusters(spark, sf_dir):
+    """Five Ward clusters of all parts by size and price; tests compare with the sequential algorithm (K4)."""
+    return cl.hierarchical(_parts(spark, sf_dir), 5, "ward")
+
+
+@query("ward_linkage_distances")
+def ward_linkage_distances(spark, sf_dir):
+    """Ward merge heights of all customers' balances in thousands."""
+    customers = _customers(spark, sf_dir).select(F.col("c_custkey").alias("id"), F.array(F.col("c_acctbal") / 1000.0).alias("x"))
+    return rounded(cl.linkage_distances(customers, linkage="ward"), ["distance"])
+
+
 def _workflow(spark, sf_dir, algorithm, parameters=None):
     docs = _labeled_documents(spark, sf_dir).select("doc_id", "quality", "n_chars", "word_length", "toxic", "lang")
     return mo.train_and_evaluate(docs, "quality", "doc_id", algorithm, parameters, stratify=True)
