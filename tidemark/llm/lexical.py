@@ -39,6 +39,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WEIGHT_SCALE, IMPACT_SCALE, TF_SCALE, M_SCALE, M_BASE, M_SPAN = 1000, 1_000_000_000, 1000, 8, 10, 90
 
 BROADCAST_TERMS = 1_000_000  # query vocabularies up to this many terms go to every task; larger ones are joined by shuffle
+BROADCAST_PARTS = 2_000_000  # contribution tables up to this many rows go to every task; larger ones are joined by shuffle
 
 
 def terms(text: Column) -> Column:
@@ -75,7 +76,8 @@ def lexical_index(docs: DataFrame, vocabulary: DataFrame | None = None, id_col:
         if wanted.count() <= BROADCAST_TERMS:
             wanted = F.broadcast(wanted)
         occurrences = occurrences.join(wanted, "term", "left_semi")
-    postings = occurrences.groupBy("term", "m", "row", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+    # Dealt by document, so that a document's postings, and later its scores, stay in one task.
+    postings = occurrences.repartition("row").groupBy("row", "term", "m", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
     return postings, {"N": big_n, "L": big_l}
 
 
@@ -89,8 +91,11 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
     """(query_id, rank, doc_id, score): each query's ``k`` best documents with score above 0 (all, if fewer).
 
     Ranks run from 1, highest score first, equal scores by ascending ``doc_id``
-    (a null id last). Repeated or null query ids are separate queries. ``spark_scratch`` (a ``Scratch``) cuts lineage after the
-    index, so a lost executor recomputes from there.
+    (a null id last). Repeated or null query ids are separate queries.
+    ``spark_scratch`` (a ``Scratch``) keeps the queries and the contributions
+    of the strata visited in the shared folder. Postings are dealt by
+    document once; with a contribution table of at most ``BROADCAST_PARTS``
+    rows, scores are summed where the postings lie.
     """
     asked = queries.select(F.monotonically_increasing_id().alias("q"), F.col(query_id).alias("query"), F.array_distinct(terms(F.col(query_text))).alias("t"))
     if spark_scratch is not None:
@@ -98,8 +103,6 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
     names = asked.select("q", "query")
     asked = asked.select("q", F.explode("t").alias("term"))
     postings, totals = lexical_index(docs, asked, id_col, text_col)
-    if spark_scratch is not None:
-        postings = spark_scratch.keep("postings", postings)
     big_n = totals["N"]
 
     # Impacts once per (term, stratum, tf), with how many documents share each.
@@ -122,7 +125,11 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
     # Exact scores in the strata visited; an entry's contribution is computed once for all its documents.
     parts = weighted.join(visited, "q").join(entries.select("term", "m", "tf"), ["term", "m"])
     parts = parts.select("q", "term", "m", "tf", (F.col("w") * impact(F.col("tf"), F.col("m"))).alias("part"))
-    scores = postings.join(parts, ["term", "m", "tf"]).groupBy("q", "row", "doc_id").agg(F.sum("part").alias("score")).filter("score > 0")
+    if spark_scratch is not None:
+        parts = spark_scratch.keep("parts", parts)
+    if parts.count() <= BROADCAST_PARTS:
+        parts = F.broadcast(parts)  # postings stay dealt by document: the sums per document need no further shuffle
+    scores = postings.join(parts, ["term", "m", "tf"]).groupBy("row", "q", "doc_id").agg(F.sum("part").alias("score")).filter("score > 0")
     order = Window.partitionBy("q").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "row")
     ranked = scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.join(names, "q").select(F.col("query").alias(query_id), F.col("rank").cast("int"), F.col("doc_id").cast("long"), F.col("score").cast("long"))
