@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.plans.metric import Metric, block_join, build_cells, empty, matrix, strips, upper_bounds, visits
+from tidemark.plans.metric import Metric, block_join, build_cells, empty, matrix, pair_distances, places, screened, strips, tiles, upper_bounds, visits
 from tidemark.plans.session import materialise
 
 
@@ -19,28 +19,60 @@ def _top_k(points: pd.DataFrame, queries: pd.DataFrame, k: int, metric: Metric,
         return empty(names)
     points = points.sort_values("id")
     x, ids = matrix(points["x"]), points["id"].to_numpy()
+    few = _first_copies(x, k + int(skip_self))
+    x, ids = x[few], ids[few]
     q, qids = matrix(queries["x"]), queries["qid"].to_numpy()
     out = []
     for part in strips(len(q)):
-        d = metric(q[part], x)
-        if skip_self:
-            d[qids[part][:, None] == ids[None, :]] = np.inf
-        take = min(k, d.shape[1])
-        # the k smallest, equal distances by id
-        if take < d.shape[1]:
-            limit = np.partition(d, take - 1, axis=1)[:, take - 1]
-            rows, cols = np.nonzero(d <= limit[:, None])
-        else:
-            rows, cols = np.nonzero(np.isfinite(d))
-        near = d[rows, cols]
+        rows, cols, near = _candidates(q[part], x, k, metric, qids[part][:, None] == ids[None, :] if skip_self else None)
         order = np.lexsort((cols, near, rows))
         rows, cols, near = rows[order], cols[order], near[order]
         rank = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
-        keep = (rank < take) & np.isfinite(near)
+        keep = rank < k
         out.append(pd.DataFrame({"qid": qids[part][rows[keep]], "id": ids[cols[keep]], "distance": near[keep]}))
     return pd.concat(out) if out else empty(names)
 
 
+def _first_copies(x: np.ndarray, k: int) -> np.ndarray:
+    """Rows that are among the first ``k`` equal to them; no others can be among k nearest with ties by row."""
+    held = np.ascontiguousarray(x + 0.0)
+    _, code = np.unique(held.view(np.dtype((np.void, held.shape[1] * held.itemsize))).ravel(), return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    first = np.arange(len(code)) - np.searchsorted(code, code, side="left") < k
+    return np.sort(order[first])
+
+
+def _candidates(q: np.ndarray, x: np.ndarray, k: int, metric: Metric, never: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and distance of every pair that may be one of a row's ``k`` nearest; the k nearest are among them.
+
+    The k-th least of the first columns bounds the rest. Euclidean distances
+    are screened by a product, and only what passes is measured.
+    """
+    found, limit = [], np.full(len(q), np.inf)
+    for _, at in tiles(1, len(x)):
+        rough = screened(q, x[at]) if metric.euclidean and q.shape[1] > 2 else None
+        value, error = rough if rough is not None else (metric(q, x[at]), np.zeros(len(q)))
+        value[np.isnan(value)] = np.inf  # no neighbour
+        if never is not None:
+            value[never[:, at]] = np.inf
+        square = rough is not None
+        if value.shape[1] >= k and not np.isfinite(limit).all():
+            kth = np.partition(value, k - 1, axis=1)[:, k - 1].astype(float) + error
+            limit = np.minimum(limit, kth if square else kth * kth if metric.euclidean else kth)
+        bound = limit if square or not metric.euclidean else np.sqrt(limit) * (1 + 1e-12)
+        if square:
+            bound = np.nextafter((bound + error).astype("float32"), np.float32(np.inf))
+        rows, cols = places(np.ascontiguousarray((value <= bound[:, None]) & np.isfinite(value)))
+        if square:
+            parts = [pair_distances(q[rows[s]], x[at][cols[s]]) for s in (slice(i, i + (1 << 18)) for i in range(0, len(rows), 1 << 18))]
+            near = np.concatenate(parts) if parts else np.zeros(0)
+        else:
+            near = value[rows, cols]
+        found.append((rows, cols + at.start, near))
+    return tuple(np.concatenate(side) for side in zip(*found))
+
+
 def nearest_neighbours(
     train: DataFrame,
     queries: DataFrame,

@@ -24,6 +24,10 @@ ROWS_PER_PIVOT = 4_000
 MOST_PIVOTS = 512
 CHUNK_ROWS = 4_096
 SLICE_ROWS = 4_096
+WIDE = 16  # components beyond which pivots hardly rule out any cell
+WIDE_ROWS = 32_768  # most rows of a wide table's chunk or slice; copies sent grow with the number of chunks
+WIDE_CHUNKS = 8  # chunks that a smaller wide table is cut into
+_TILE_ROWS, _TILE_COLUMNS = 16, 4_096
 _STRIP = 512  # queries whose distances are held at once
 SLACK = 1e-9  # guards pruning against rounding; the exact test decides
 
@@ -40,19 +44,79 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str = "minkowski", p: float
     elif metric not in ("minkowski", "chebyshev"):
         raise ValueError(f"Unknown metric {metric!r}.")
     out = np.zeros((len(a), len(b)))
-    for j in range(a.shape[1]):
-        d = np.abs(a[:, j, None] - b[None, :, j])
-        if metric == "chebyshev":
-            np.maximum(out, d, out=out)
-        elif p == 1:
-            out += d
-        elif p == 2:
-            out += d * d
-        else:
-            out += d**p
+    turned = np.ascontiguousarray(b.T)
+    for top in range(0, len(a), _TILE_ROWS):  # tiles that stay in the processor's cache
+        for at in range(0, len(b), _TILE_COLUMNS):
+            tile = out[top : top + _TILE_ROWS, at : at + _TILE_COLUMNS]
+            total, d = np.zeros(tile.shape), np.empty(tile.shape)
+            for j in range(a.shape[1]):
+                np.subtract(a[top : top + _TILE_ROWS, j, None], turned[None, j, at : at + _TILE_COLUMNS], out=d)
+                _gather(d, total, metric, p)
+            tile[:] = total
+    return _finished(out, metric, p)
+
+
+def _gather(d: np.ndarray, total: np.ndarray, metric: str, p: float) -> None:
+    """Add one coordinate's differences to the running total."""
+    if metric != "chebyshev" and p == 2:
+        np.multiply(d, d, out=d)
+    else:
+        np.abs(d, out=d)
+    if metric == "chebyshev":
+        np.maximum(total, d, out=total)
+        return
+    if p not in (1, 2):
+        np.power(d, p, out=d)
+    np.add(total, d, out=total)
+
+
+def _finished(total: np.ndarray, metric: str, p: float) -> np.ndarray:
     if metric == "chebyshev" or p == 1:
-        return out
-    return np.sqrt(out) if p == 2 else out ** (1.0 / p)
+        return total
+    return np.sqrt(total) if p == 2 else total ** (1.0 / p)
+
+
+def pair_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distance of each row of ``a`` to the same row of ``b``, summed as in ``distances``."""
+    total = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        _gather(a[:, j] - b[:, j], total, "euclidean", 2.0)
+    return np.sqrt(total)
+
+
+def screened(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Squared Euclidean distances from one product in single precision, and each row's bound of their error.
+
+    None where single precision cannot hold them. Whatever lies within the
+    bound of a decision has to be measured by ``pair_distances``.
+    """
+    centre = b.mean(0)
+    a, b = a - centre, b - centre
+    na, nb = (a * a).sum(1), (b * b).sum(1)
+    error = 1.5 * (a.shape[1] + 8) * 2.0**-24 * (np.sqrt(na) + np.sqrt(nb.max())) ** 2
+    if not error.max() < 1e30:
+        return None
+    one = np.ones(1, dtype="float32")
+    left = np.concatenate([a, na[:, None], np.broadcast_to(one, (len(a), 1))], axis=1).astype("float32")
+    right = np.concatenate([-2.0 * b, np.broadcast_to(one, (len(b), 1)), nb[:, None]], axis=1).astype("float32")
+    return left @ right.T, error + 1e-37
+
+
+def places(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of every true cell of a mask that is mostly false."""
+    flat = mask.ravel()
+    whole = len(flat) // 8 * 8
+    words = np.flatnonzero(flat[:whole].view("uint64"))
+    inside = np.flatnonzero(flat[:whole].reshape(-1, 8)[words])
+    found = np.concatenate([words[inside // 8] * 8 + inside % 8, whole + np.flatnonzero(flat[whole:])])
+    return np.divmod(found, mask.shape[1])
+
+
+def tiles(rows: int, columns: int) -> Iterator[tuple[slice, slice]]:
+    """Row and column ranges that cover a matrix, a few million cells at a time."""
+    for s in strips(rows):
+        for at in range(0, columns, CHUNK_ROWS):
+            yield s, slice(at, min(columns, at + CHUNK_ROWS))
 
 
 def matrix(column: pd.Series) -> np.ndarray:
@@ -69,6 +133,26 @@ class Metric:
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return distances(a, b, self.name, self.p)
 
+    @property
+    def euclidean(self) -> bool:
+        return self.name in ("euclidean", "l2") or (self.name == "minkowski" and self.p == 2)
+
+    def within(self, a: np.ndarray, b: np.ndarray, radius: float) -> np.ndarray:
+        """Whether each distance is at most ``radius``; what a product cannot tell is measured."""
+        rough = screened(a, b) if self.euclidean and len(a) and len(b) and a.shape[1] > 2 else None
+        if rough is None:
+            return self(a, b) <= radius
+        square, error = rough
+        error = error + 1e-9 * radius * radius
+        sure = square <= (radius * radius - error).astype("float32")[:, None] * np.float32(1 - 2e-7)
+        open_cells = square <= np.nextafter((radius * radius + error).astype("float32"), np.float32(np.inf))[:, None]
+        np.logical_xor(open_cells, sure, out=open_cells)
+        i, j = places(open_cells)
+        for at in range(0, len(i), 1 << 18):
+            s = slice(at, at + (1 << 18))
+            sure[i[s], j[s]] = pair_distances(a[i[s]], b[j[s]]) <= radius
+        return sure
+
     def prune_points(self, x: np.ndarray) -> np.ndarray:
         if self.name != "cosine":
             return x
@@ -95,12 +179,16 @@ class Cells:
     inner: np.ndarray
     outer: np.ndarray
     points: DataFrame  # id, x, cell (and payload)
+    chunk_rows: int | None = None  # rows of a chunk or slice where that is not the usual number
 
 
 def build_cells(points: DataFrame, metric: Metric, id_col: str = "id", vector: str = "x", rows: int | None = None) -> Cells:
     """Assign every point to its nearest pivot. Pivots are rows chosen by a hash of their id."""
     total = rows if rows is not None else points.count()
-    wanted = int(min(MOST_PIVOTS, max(1, -(-total // ROWS_PER_PIVOT))))
+    wanted, block = int(min(MOST_PIVOTS, max(1, -(-total // ROWS_PER_PIVOT)))), None
+    first = points.select(F.size(c(vector)).alias("k")).first()
+    if first is not None and (first["k"] or 0) > WIDE:  # one cell, cut into few large chunks
+        wanted, block = 1, int(min(WIDE_ROWS, max(CHUNK_ROWS, -(-total // WIDE_CHUNKS))))
     chosen = points.select(c(vector).alias("x"), hash_key(id_col, 7).alias("h")).orderBy("h").limit(wanted).collect()
     pivots = np.array([r["x"] for r in chosen], dtype=float)
     names = [n for n in points.columns]
@@ -120,7 +208,7 @@ def build_cells(points: DataFrame, metric: Metric, id_col: str = "id", vector: s
     counts, lo, hi = np.zeros(size, dtype=int), np.full(size, np.inf), np.full(size, -np.inf)
     for r in stats:
         counts[r["cell"]], lo[r["cell"]], hi[r["cell"]] = r["n"], r["lo"], r["hi"]
-    return Cells(pivots, counts, lo, hi, placed.drop("radius"))
+    return Cells(pivots, counts, lo, hi, placed.drop("radius"), block)
 
 
 def visits(
@@ -195,7 +283,7 @@ def block_join(
     spark = visiting.sparkSession
     per_cell = {r["visit"]: r["n"] for r in visiting.groupBy("visit").agg(F.count(F.lit(1)).alias("n")).collect()}
     layout = [
-        (int(i), int(max(1, -(-int(n) // CHUNK_ROWS))), int(max(1, -(-per_cell[i] // SLICE_ROWS))))
+        (int(i), int(max(1, -(-int(n) // (cells.chunk_rows or CHUNK_ROWS)))), int(max(1, -(-per_cell[i] // (cells.chunk_rows or SLICE_ROWS)))))
         for i, n in enumerate(cells.counts)
         if n and i in per_cell
     ]
