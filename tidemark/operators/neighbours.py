@@ -152,20 +152,24 @@ def accuracy_by_k(
     folds: DataFrame, label: str, most: int, fold: str = "fold", id_col: str = "id", vector: str = "x"
 ) -> DataFrame:
     """Mean fold accuracy for every k up to ``most``: one search per fold, then a vote per prefix of ranks."""
+    held = materialise(folds.select(F.col(id_col).alias("id"), F.col(vector).alias("x"), F.col(label).alias("label"), F.col(fold).alias("fold")), "folds")
     parts = []
-    numbers = sorted(r[0] for r in folds.select(fold).distinct().collect())
+    numbers = sorted(r[0] for r in held.select("fold").distinct().collect())
     for f in numbers:
-        train, test = folds.filter(F.col(fold) != f), folds.filter(F.col(fold) == f)
-        found = materialise(nearest_neighbours(train, test, most, None, id_col, id_col, vector), "knn")
-        prefixes = found.withColumn("k", F.explode(F.sequence(F.col("rank"), F.lit(most))))
-        said = vote(prefixes, train.select(F.col(id_col).alias("id"), F.col(label).alias("label")), by=("qid", "k"))
-        truth = test.select(F.col(id_col).alias("qid"), F.col(label).alias("truth"))
-        right = said.join(truth, "qid").groupBy("k").agg(F.avg((F.col("prediction") == F.col("truth")).cast("double")).alias("accuracy"))
-        parts.append(right.withColumn("fold", F.lit(f)))
-    out = parts[0]
+        train, test = held.filter(F.col("fold") != f), held.filter(F.col("fold") == f)
+        found = nearest_neighbours(train, test, most, None, "id", "id", "x").select("qid", "id", "rank")
+        labels = train.select("id", "label").hint("merge")  # these tables grow with the input, so none is broadcast
+        parts.append(materialise(found.join(labels, "id").select("qid", "label", "rank", F.lit(f).alias("fold")), "knn"))
+    known = parts[0]
     for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.groupBy("k").agg(F.avg("accuracy").alias("accuracy")).orderBy("k")
+        known = known.unionByName(part)
+    # one shuffle by query; the votes of its prefixes and its truth then meet in place
+    prefixes = known.repartition("fold", "qid").withColumn("k", F.explode(F.sequence(F.col("rank"), F.lit(most))))
+    votes = prefixes.groupBy("fold", "qid", "k", "label").agg(F.count(F.lit(1)).alias("w"))
+    said = votes.groupBy("fold", "qid", "k").agg(F.min_by("label", F.struct(-F.col("w"), F.col("label"))).alias("prediction"))
+    truth = held.select("fold", F.col("id").alias("qid"), F.col("label").alias("truth")).hint("merge")
+    right = said.join(truth, ["fold", "qid"]).groupBy("fold", "k").agg(F.avg((F.col("prediction") == F.col("truth")).cast("double")).alias("accuracy"))
+    return right.groupBy("k").agg(F.avg("accuracy").alias("accuracy")).orderBy("k")
 
 
 def k_distances(points: DataFrame, neighbours: int = 5, id_col: str = "id", vector: str = "x", rows: int | None = None) -> DataFrame:
