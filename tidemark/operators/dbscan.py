@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.plans.graph import connected_components
-from tidemark.plans.metric import Metric, block_join, build_cells, empty, matrix, strips, visits
+from tidemark.plans.metric import Metric, block_join, build_cells, empty, matrix, places, tiles, visits
 from tidemark.plans.ordered import with_row_id
 from tidemark.plans.session import materialise
 
@@ -25,21 +25,21 @@ def _micro_width(eps: float, d: int, metric: str) -> float | None:
     return eps / spread * (1 - 1e-9)
 
 
-def _local_forest(u: np.ndarray, v: np.ndarray) -> pd.DataFrame:
-    """Spanning edges (node, smallest node) of the graph with the given edges."""
-    nodes, index = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = index[: len(u)], index[len(u) :]
-    root = np.arange(len(nodes))
+def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Roots (smallest member) of a forest after the edges between nodes a and b are added."""
     while True:
-        before = root.copy()
-        low = np.minimum(root[a], root[b])
-        np.minimum.at(root, root[a], low)
-        np.minimum.at(root, root[b], low)
-        root = root[root]
-        if np.array_equal(root, before) and np.array_equal(root[a], root[b]):
-            break
-    moved = root != np.arange(len(nodes))
-    return pd.DataFrame({"u": nodes[moved], "v": nodes[root[moved]]})
+        a, b = root[a], root[b]
+        apart = a != b
+        if not apart.any():
+            return root
+        code = np.unique(np.minimum(a, b)[apart] * len(root) + np.maximum(a, b)[apart])
+        a, b = np.divmod(code, len(root))
+        np.minimum.at(root, b, a)
+        while True:
+            up = root[root]
+            if np.array_equal(up, root):
+                break
+            root = up
 
 
 def _link(points: DataFrame, measure: Metric, eps: float) -> DataFrame:
@@ -51,17 +51,13 @@ def _link(points: DataFrame, measure: Metric, eps: float) -> DataFrame:
         if not len(p) or not len(q):
             return empty(["u", "v"])
         x, node, y, qnode = matrix(p["x"]), p["node"].to_numpy(), matrix(q["x"]), q["qnode"].to_numpy()
-        found = []
-        for s in strips(len(y)):
-            i, j = np.nonzero(measure(y[s], x) <= eps)
-            a, b = qnode[s][i], node[j]
-            apart = a != b
-            if apart.any():
-                found.append(np.unique(np.stack([a[apart], b[apart]]), axis=1))
-        if not found:
-            return empty(["u", "v"])
-        edges = np.unique(np.concatenate(found, axis=1), axis=1)
-        return _local_forest(edges[0], edges[1])
+        nodes, at = np.unique(np.concatenate([qnode, node]), return_inverse=True)
+        asked, there, root = at[: len(qnode)], at[len(qnode) :], np.arange(len(nodes))
+        for s, t in tiles(len(y), len(x)):
+            i, j = places(measure.within(y[s], x[t], eps))
+            root = _join(root, asked[s][i], there[t][j])
+        moved = root != np.arange(len(nodes))
+        return pd.DataFrame({"u": nodes[moved], "v": nodes[root[moved]]})
 
     routed = visits(asks, cells, measure, eps, own="upper", home="home")
     return materialise(block_join(cells, routed, link, "u long, v long"), "links")
@@ -76,8 +72,10 @@ def _close_groups(points: DataFrame, measure: Metric, reach: float) -> DataFrame
         if not len(p) or not len(q):
             return empty(["node"])
         x, part, y, qpart = matrix(p["x"]), p["part"].to_numpy(), matrix(q["x"]), q["qpart"].to_numpy()
-        hit = [((measure(y[s], x) <= reach) & (qpart[s][:, None] != part[None, :])).any(1) for s in strips(len(y))]
-        return pd.DataFrame({"node": q["qnode"].to_numpy()[np.concatenate(hit)]})
+        hit = np.zeros(len(y), dtype=bool)
+        for s, t in tiles(len(y), len(x)):
+            hit[s] |= (measure.within(y[s], x[t], reach) & (qpart[s][:, None] != part[t][None, :])).any(1)
+        return pd.DataFrame({"node": q["qnode"].to_numpy()[hit]})
 
     return materialise(block_join(cells, visits(asks, cells, measure, reach), near, "node long"), "close").distinct()
 
@@ -126,7 +124,10 @@ def dbscan(
         if not len(p) or not len(q):
             return empty(["qid", "n"])
         x, w, y = matrix(p["x"]), p["w"].to_numpy(), matrix(q["x"])
-        n = np.concatenate([(measure(y[s], x) <= eps) @ w for s in strips(len(y))])
+        n = np.zeros(len(y), dtype="int64")
+        for s, t in tiles(len(y), len(x)):
+            i, j = places(measure.within(y[s], x[t], eps))
+            n[s] += np.bincount(i, w[t][j], s.stop - s.start).astype("int64")
         return pd.DataFrame({"qid": q["qid"].to_numpy(), "n": n})
 
     near = block_join(every, visits(open_points, every, measure, float(eps)), count_near, "qid long, n long")
@@ -172,7 +173,10 @@ def dbscan(
         if not len(p) or not len(q):
             return empty(["qid", "cluster"])
         x, k, y = matrix(p["x"]), p["cluster"].to_numpy().astype(float), matrix(q["x"])
-        best = np.concatenate([np.where(measure(y[s], x) <= eps, k[None, :], np.inf).min(1) for s in strips(len(y))])
+        best = np.full(len(y), np.inf)
+        for s, t in tiles(len(y), len(x)):
+            i, j = places(measure.within(y[s], x[t], eps))
+            np.minimum.at(best, i + s.start, k[t][j])
         hit = np.isfinite(best)
         return pd.DataFrame({"qid": q["qid"].to_numpy()[hit], "cluster": best[hit].astype("int64")})
 
