@@ -1,21 +1,31 @@
 """Ward linkage of tables of any size, by rounds of reciprocal nearest neighbours.
 
 A cluster is one row (id, n, s): its size and the sum of its points, which is
-all Ward's criterion needs. Each round finds every cluster's nearest other
-cluster (block against block, one task a pair of blocks, each task keeping
-only its best candidates) and merges all pairs that are each other's nearest
-at once. Ward's criterion is reducible, so such a pair is merged by the
-sequential algorithm too, whatever it merges before: the rounds give the same
-tree. Heights follow the Lance-Williams convention on Euclidean distances:
-``sqrt(2 nA nB / (nA + nB)) * |mean A - mean B|``.
-
-Ties go to the smaller cluster id, a cluster keeps the smaller id of the two
-it merges, and repeated points are clusters at distance 0. Rows with a null id
-or a vector with nulls take no part; an empty table has no merges.
+all Ward's criterion needs. Ward's criterion is reducible: clusters that are
+each other's nearest are merged by the sequential algorithm too, whatever it
+merges before, and no merge elsewhere brings anything closer to a cluster. So
+every such pair may be merged at once, in any order, with the same tree.
+
+Each turn cuts the means into cells of about ``block / 2`` clusters (median cuts
+of a sample, drawn anew each turn). A task merges inside its cell, again and
+again, every pair whose cost lies below what any cluster outside can offer; the
+boxes and least sizes of the other cells, by size class, bound that from below.
+What is close to a border waits for the next turn's cells, which are larger
+because fewer clusters are left. A turn is linear in the clusters left. Where
+cells decide too little (vectors of many components), the turn compares blocks
+pairwise instead, which is quadratic but bounded in memory.
+
+Heights follow the Lance-Williams convention on Euclidean distances:
+``sqrt(2 nA nB / (nA + nB)) * |mean A - mean B|``. Ties go to the smaller
+cluster id, a cluster keeps the smaller id of the two it merges, and repeated
+points are clusters at distance 0. Rows with a null id or a vector with nulls
+take no part; an empty table has no merges.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,6 +37,12 @@ from tidemark.plans.roles import c
 from tidemark.plans.session import materialise
 
 BLOCK = 2048  # clusters a task compares with another block of as many
+CELL_SAMPLE = 24  # clusters a cell's cuts are taken from
+CELL_DIMENSIONS = 16  # components beyond which boxes bound nothing
+NEAR_BOXES = 64  # boxes a cell measures one by one; the others share one bound
+LEAST_SHARE = 0.05  # share of clusters a turn of cells has to merge
+TURN = 100_000  # round numbers set aside for a turn
+_OUT = "round int, kept long, absorbed long, height double, size long, id long, n long, s array<double>"
 
 
 def _costs(n_a: np.ndarray, s_a: np.ndarray, n_b: np.ndarray, s_b: np.ndarray) -> np.ndarray:
@@ -70,26 +86,20 @@ def ward_merges(points: DataFrame, id_col: str = "id", vector: str = "x", block:
     if len(dims) > 1:
         raise ValueError("Every vector must have the same number of components.")
     found, at, left = [], 0, clusters.count()
+    width = dims[0]["k"] if dims else 0
+    if left > block:
+        found, clusters, left = _merge_copies(clusters, left)
+        at = len(found)
     while left > 1:
-        chunks = max(1, -(-left // block))
-        own = F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")
-        placed = clusters.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-        meet = placed.select("id", "n", "s", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
-        near = meet.groupBy("a", "b").applyInPandas(_nearest, "id long, d double, nn long")
-        best = materialise(near.groupBy("id").agg(F.min(F.struct("d", "nn")).alias("m")).select("id", "m.d", "m.nn"), "ward-nearest")
-        back = best.select(F.col("id").alias("nn"), F.col("nn").alias("id"))
-        pairs = best.join(back, ["id", "nn"]).filter(F.col("id") < F.col("nn"))
-        if pairs.isEmpty():  # only rounding can hide every reciprocal pair; the closest pair is one
-            pairs = best.orderBy("d", "id", "nn").limit(1).select("id", "nn", "d").withColumn("id", F.least("id", "nn")).withColumn("nn", F.greatest(best["id"], "nn"))
-        pairs = materialise(pairs.select(F.col("id").alias("kept"), F.col("nn").alias("absorbed"), "d"), "ward-pairs")
-        one = clusters.select(F.col("id").alias("kept"), F.col("n").alias("na"), F.col("s").alias("sa"))
-        two = clusters.select(F.col("id").alias("absorbed"), F.col("n").alias("nb"), F.col("s").alias("sb"))
-        joined = pairs.join(one, "kept").join(two, "absorbed")
-        merged = joined.select(F.col("kept").alias("id"), (F.col("na") + F.col("nb")).alias("n"), F.zip_with("sa", "sb", lambda p, q: p + q).alias("s"))
-        gone = pairs.select(F.col("kept").alias("id")).unionByName(pairs.select(F.col("absorbed").alias("id")))
-        found.append(materialise(joined.select(F.lit(at).alias("round"), "kept", "absorbed", F.sqrt("d").alias("height"), (F.col("na") + F.col("nb")).alias("size")), "ward-merges"))
-        clusters = materialise(clusters.join(gone, "id", "left_anti").unionByName(merged), "ward-clusters")
-        left, at = clusters.count(), at + 1
+        before = left
+        if left <= block or width <= CELL_DIMENSIONS:
+            merged, clusters = _cell_turn(clusters, left, width, at, block)
+            found.append(merged)
+            left, at = clusters.count(), at + 1
+        if left > 1 and before - left < LEAST_SHARE * before:
+            merged, clusters = _block_turn(clusters, left, at, block)
+            found.append(merged)
+            left, at = clusters.count(), at + 1
     if not found:
         return points.sparkSession.createDataFrame([], "round int, kept long, absorbed long, height double, size long")
     out = found[0]
@@ -98,6 +108,145 @@ def ward_merges(points: DataFrame, id_col: str = "id", vector: str = "x", block:
     return materialise(out, "ward-tree")
 
 
+def _merge_copies(clusters: DataFrame, rows: int) -> tuple[list[DataFrame], DataFrame, int]:
+    """Equal points merged at height 0 into the one with the smallest id."""
+    unique = materialise(clusters.groupBy("s").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "ward-unique")
+    left = unique.count()
+    if left == rows:
+        return [], clusters, rows
+    copies = clusters.select("id", "s").join(unique.filter("n > 1").select("s", F.col("id").alias("kept")).hint("merge"), "s")
+    ranked = with_row_id(copies, ["id"], ["s"], "place").filter("place > 0")
+    merged = ranked.select(F.lit(0).alias("round"), "kept", F.col("id").alias("absorbed"), F.lit(0.0).alias("height"), (F.col("place") + 1).alias("size"))
+    return [materialise(merged, "ward-merges")], materialise(unique.select("id", "n", F.transform("s", lambda v: v * F.col("n")).alias("s")), "ward-clusters"), left
+
+
+def _median_cuts(sample: np.ndarray, depth: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Dimension and value of every cut of a complete binary tree, near the medians of the sample."""
+    dims, cuts = np.zeros(2**depth - 1, dtype=int), np.full(2**depth - 1, np.inf)
+    parts = {0: sample}
+    for node in range(2**depth - 1):
+        part = parts.pop(node)
+        if len(part):
+            dims[node] = int((part.max(0) - part.min(0)).argmax())
+            cuts[node] = np.quantile(part[:, dims[node]], rng.uniform(0.42, 0.58))  # other borders each turn
+        low = part[:, dims[node]] <= cuts[node]
+        parts[2 * node + 1], parts[2 * node + 2] = part[low], part[~low]
+    return dims, cuts
+
+
+def _cell_turn(clusters: DataFrame, left: int, width: int, at: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Merges made inside cells, and the clusters that are left."""
+    alone = left <= block
+    depth = 0 if alone else max(1, int(np.ceil(np.log2(left / block))) + 1)
+    boxes = None
+    if alone:
+        placed = clusters.withColumn("cell", F.lit(0))
+    else:
+        mean = F.transform("s", lambda v: v / F.col("n"))
+        every = max(1, left // (CELL_SAMPLE * 2**depth))
+        sample = clusters.filter(F.pmod(F.xxhash64("id", F.lit(at)), F.lit(every)) == 0).select(mean.alias("m")).collect()
+        dims, cuts = _median_cuts(np.array([r["m"] for r in sample], dtype=float).reshape(-1, width), depth, np.random.default_rng(at))
+
+        def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    x = np.stack(pdf["s"].to_numpy()).astype(float) / pdf["n"].to_numpy()[:, None]
+                    node = np.zeros(len(x), dtype=int)
+                    for _ in range(depth):
+                        node = 2 * node + 1 + (x[np.arange(len(x)), dims[node]] > cuts[node])
+                    yield pdf.assign(cell=(node - 2**depth + 1).astype("int32"))
+
+        placed = materialise(clusters.mapInPandas(assign, "id long, n long, s array<double>, cell int"), "ward-cells")
+        sides = [f(F.col("s")[j] / F.col("n")).alias(f"{tag}{j}") for j in range(width) for tag, f in (("lo", F.min), ("hi", F.max))]
+        rows = placed.groupBy("cell", F.floor(F.log2("n")).alias("class")).agg(F.min("n").alias("least"), *sides).collect()  # a few rows per cell
+        boxes = (
+            np.array([r["cell"] for r in rows]), np.array([r["least"] for r in rows], dtype=float),
+            np.array([[r[f"lo{j}"] for j in range(width)] for r in rows]), np.array([[r[f"hi{j}"] for j in range(width)] for r in rows]),
+        )
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _merge_cell(pdf, boxes, at * TURN)
+
+    done = materialise(placed.groupBy("cell").applyInPandas(merge, _OUT), "ward-turn")
+    return done.filter("kept IS NOT NULL").select("round", "kept", "absorbed", "height", "size"), done.filter("kept IS NULL").select("id", "n", "s")
+
+
+def _outside(mu: np.ndarray, n: np.ndarray, boxes: tuple[np.ndarray, ...], rest: tuple[float, float]) -> np.ndarray:
+    """Lower bound of each cluster's cost with any cluster of the boxes, and of the rest (size, squared gap)."""
+    least, lo, hi = boxes
+    gap = np.maximum(np.maximum(lo[None] - mu[:, None], mu[:, None] - hi[None]), 0.0)
+    cost = (gap**2).sum(2) * (2.0 * n[:, None] * least[None] / (n[:, None] + least[None]))
+    return np.minimum(cost.min(1), rest[1] * 2.0 * n * rest[0] / (n + rest[0])) * (1 - 1e-9)
+
+
+def _merge_cell(pdf: pd.DataFrame, boxes: tuple[np.ndarray, ...] | None, first: int) -> pd.DataFrame:
+    """The merges of a cell that no cluster outside can change, then the clusters left."""
+    pdf = pdf.sort_values("id")
+    ids, n = pdf["id"].to_numpy().copy(), pdf["n"].to_numpy().astype(float)
+    s = np.array(pdf["s"].tolist(), dtype=float).reshape(len(pdf), -1)
+    near = None
+    if boxes is not None:
+        cell, least, lo, hi = boxes
+        mu, other = s / n[:, None], cell != pdf["cell"].iloc[0]
+        least, lo, hi = least[other], lo[other], hi[other]
+        gap = (np.maximum(np.maximum(lo - mu.max(0), mu.min(0) - hi), 0.0) ** 2).sum(1)
+        order = gap.argsort()
+        close, far = order[:NEAR_BOXES], order[NEAR_BOXES:]
+        rest = (least[far].min(), gap[far[0]]) if len(far) else (1.0, np.inf)
+        near = (least[close], lo[close], hi[close]) if len(close) else None
+    bound = _outside(s / n[:, None], n, near, rest) if near else np.full(len(n), np.inf)
+    merges, turn = [], 0
+    while len(ids) > 1:
+        d = _costs(n, s, n, s)
+        d = (d + d.T) / 2.0
+        np.fill_diagonal(d, np.inf)
+        j = d.argmin(1)
+        cost = d[np.arange(len(ids)), j]
+        sure = cost < bound
+        i = np.flatnonzero((j[j] == np.arange(len(ids))) & sure & sure[j] & (np.arange(len(ids)) < j))
+        if not len(i) and near is None:  # only rounding can hide every reciprocal pair; the closest pair is one
+            i = cost.argmin()[None]
+            i = np.minimum(i, j[i])
+            j[i] = d[i[0]].argmin()
+        if not len(i):
+            break
+        k = j[i]
+        size = n[i] + n[k]
+        merges.append(pd.DataFrame({"round": first + turn, "kept": ids[i], "absorbed": ids[k], "height": np.sqrt(cost[i]), "size": size.astype("int64")}))
+        n[i], s[i] = size, s[i] + s[k]
+        if near:
+            bound[i] = np.maximum(np.minimum(bound[i], bound[k]), _outside(s[i] / n[i][:, None], n[i], near, rest))
+        stay = np.ones(len(ids), dtype=bool)
+        stay[k] = False
+        ids, n, s, bound, turn = ids[stay], n[stay], s[stay], bound[stay], turn + 1
+    left = pd.DataFrame({"id": ids, "n": n.astype("int64"), "s": list(s)})
+    out = pd.concat([*merges, left])
+    out["s"] = [v if isinstance(v, np.ndarray) else None for v in out["s"]]
+    return out.reindex(columns=["round", "kept", "absorbed", "height", "size", "id", "n", "s"]).astype({k: "Int64" for k in ("round", "kept", "absorbed", "size", "id", "n")})
+
+
+def _block_turn(clusters: DataFrame, left: int, at: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """One round of reciprocal pairs found by comparing all blocks of clusters, and the clusters left."""
+    chunks = max(1, -(-left // block))
+    own = F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")
+    placed = clusters.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    meet = placed.select("id", "n", "s", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+    near = meet.groupBy("a", "b").applyInPandas(_nearest, "id long, d double, nn long")
+    best = materialise(near.groupBy("id").agg(F.min(F.struct("d", "nn")).alias("m")).select("id", "m.d", "m.nn"), "ward-nearest")
+    back = best.select(F.col("id").alias("nn"), F.col("nn").alias("id"))
+    pairs = best.join(back, ["id", "nn"]).filter(F.col("id") < F.col("nn"))
+    if pairs.isEmpty():  # only rounding can hide every reciprocal pair; the closest pair is one
+        pairs = best.orderBy("d", "id", "nn").limit(1).select(F.least("id", "nn").alias("id"), F.greatest("id", "nn").alias("nn"), "d")
+    pairs = materialise(pairs.select(F.col("id").alias("kept"), F.col("nn").alias("absorbed"), "d"), "ward-pairs")
+    one = clusters.select(F.col("id").alias("kept"), F.col("n").alias("na"), F.col("s").alias("sa"))
+    two = clusters.select(F.col("id").alias("absorbed"), F.col("n").alias("nb"), F.col("s").alias("sb"))
+    joined = pairs.join(one, "kept").join(two, "absorbed")
+    merged = joined.select(F.col("kept").alias("id"), (F.col("na") + F.col("nb")).alias("n"), F.zip_with("sa", "sb", lambda p, q: p + q).alias("s"))
+    gone = pairs.select(F.col("kept").alias("id")).unionByName(pairs.select(F.col("absorbed").alias("id")))
+    made = materialise(joined.select(F.lit(at * TURN).alias("round"), "kept", "absorbed", F.sqrt("d").alias("height"), (F.col("na") + F.col("nb")).alias("size")), "ward-merges")
+    return made, materialise(clusters.join(gone, "id", "left_anti").unionByName(merged), "ward-clusters")
+
+
 def ward_clusters(points: DataFrame, n_clusters: int, id_col: str = "id", vector: str = "x") -> DataFrame:
     """(id, cluster): the tree cut into ``n_clusters``, clusters numbered by their smallest id.
 
