@@ -92,11 +92,11 @@ def leaf_templates(rows: DataFrame, of: DataFrame, scratch: Scratch) -> DataFram
 
 def sketches(docs: DataFrame, text_col: str, key: Column) -> DataFrame:
     """(row, sketch): the least hashes of a document's runs of words, blank documents left out."""
-    words = F.filter(F.split(masked(F.regexp_replace(F.col(text_col), "\n", " ")), " "), lambda w: w != "")
+    words = F.array_remove(F.split(masked(F.translate(F.col(text_col), "\n", " ")), " "), "")
     hashed = docs.select(key.alias("row"), F.transform(words, lambda w: F.xxhash64(w)).alias("w")).filter(F.size("w") > 0)
     shifted = [F.slice("w", F.lit(i + 1), F.greatest(F.size("w") - WORDS + 1, F.lit(1))) for i in range(WORDS)]
     runs = F.when(F.size("w") < WORDS, F.array(F.xxhash64("w"))).otherwise(F.transform(F.arrays_zip(*[x.alias(f"w{i}") for i, x in enumerate(shifted)]), lambda r: F.xxhash64(r)))
-    return hashed.select("row", F.slice(F.array_sort(F.array_distinct(runs)), 1, SKETCH).alias("sketch"))
+    return hashed.select("row", F.slice(F.sort_array(F.array_distinct(runs)), 1, SKETCH).alias("sketch"))
 
 
 def families(docs: DataFrame, text_col: str, key: Column, scratch: Scratch) -> DataFrame:
@@ -115,7 +115,7 @@ def families(docs: DataFrame, text_col: str, key: Column, scratch: Scratch) -> D
     met = probed.join(first.hint("merge"), "probe").select("doc", F.explode(F.array("low", "high")).alias("other")).filter("doc <> other")
     met = scratch.keep("met", met.distinct())
     pairs = met.join(texts.hint("merge"), "doc").join(texts.select(F.col("doc").alias("other"), F.col("sketch").alias("its")).hint("merge"), "other")
-    both = F.slice(F.array_sort(F.array_union("sketch", "its")), 1, SKETCH)
+    both = F.slice(F.sort_array(F.array_union("sketch", "its")), 1, SKETCH)
     shared = F.size(F.array_intersect(F.array_intersect(both, F.col("sketch")), F.col("its")))
     links = pairs.filter(shared >= F.size(both) * F.lit(NEAR)).select(F.col("doc").alias("u"), F.col("other").alias("v"))
     linked = components(scratch.keep("near", links), scratch)
