@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.prepare import fit_preparation
-from tidemark.plans.ordered import running_totals, with_halo, with_row_id
+from tidemark.plans.ordered import dealt, running_totals, with_halo, with_row_id
 from tidemark.plans.roles import c, nan_to_null, numeric_columns, require_columns
 from tidemark.plans.sampling import class_counts
 
@@ -230,8 +230,9 @@ def mutual_information(
         .select("rid", "cls", "f.feature", "f.x")
         .filter(F.col("cls").isin(list(counts)))
     )
-    sorted_rows = with_row_id(long, ["x", "rid"], ["feature", "cls"], "_i")
-    blocks = with_halo(sorted_rows, "_i", neighbours, neighbours)
+    size = sum(counts.values()) * len(names)
+    sorted_rows = with_row_id(long, ["x", "rid"], ["feature", "cls"], "_i", size)
+    blocks = dealt(with_halo(sorted_rows, "_i", neighbours, neighbours), ["feature", "cls", "_block"], size)
     near = Window.partitionBy("feature", "cls", "_block").orderBy("_i")
     k = F.lit(neighbours)
     small = {key: n for key, n in counts.items() if n - 1 < neighbours}
@@ -269,8 +270,8 @@ def mutual_information(
             F.struct(F.col("_b.hi").alias("v"), F.lit(0).alias("tag")), F.struct(F.col("_b.lo").alias("v"), F.lit(2).alias("tag"))
         )).alias("e"), "rid",
     ).select("feature", "e.v", "e.tag", "rid", F.lit(0).alias("one"))
-    run = running_totals(points.unionByName(ends), ["one"], ["v", "tag", "rid"], ["feature"])
-    inside = run.filter("tag <> 1").groupBy("feature", "rid").agg(
+    run = running_totals(points.unionByName(ends), ["one"], ["v", "tag", "rid"], ["feature"], rows=3 * size)
+    inside = dealt(run.filter("tag <> 1"), ["feature", "rid"], 2 * size).groupBy("feature", "rid").agg(
         F.sum(F.when(F.col("tag") == 0, F.col("cum_one")).otherwise(-F.col("cum_one"))).alias("m")
     )
     total = sum(counts.values())

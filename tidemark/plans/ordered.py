@@ -18,6 +18,7 @@ from tidemark.plans.session import materialise
 PART, POS = "_part", "_pos"
 BLOCK, OWN = "_block", "_own"
 HALO_BLOCK_ROWS = 65_536
+PART_ROWS = 1_000_000  # rows of a partition that is sorted, where the caller knows how many there are
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row number in its low 33 bits
 
 
@@ -25,6 +26,18 @@ def _columns(items: Sequence[str | Column]) -> list[Column]:
     return [c(i) if isinstance(i, str) else i for i in items]
 
 
+def enough_parts(df: DataFrame, rows: int | None) -> int | None:
+    """Partitions that keep a sorted one near ``PART_ROWS``, or None where the session's number already does."""
+    wanted = -(-int(rows or 0) // PART_ROWS)
+    return wanted if wanted > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def dealt(df: DataFrame, keys: Sequence[str], rows: int | None) -> DataFrame:
+    """``df`` by keys over enough partitions for its rows; as it is where Spark's own exchange will do."""
+    parts = enough_parts(df, rows)
+    return df.repartition(parts, *_columns(keys)) if parts else df
+
+
 def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on ``keys`` where NULL equals NULL; the keys of ``left`` stay, those of ``right`` go."""
     renamed = {key: f"_rk{i}" for i, key in enumerate(keys)}
@@ -36,15 +49,18 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: st
 
 
 def range_sorted(
-    df: DataFrame, order_by: Sequence[str | Column], partition_by: Sequence[str] = (), name: str = "sorted"
+    df: DataFrame, order_by: Sequence[str | Column], partition_by: Sequence[str] = (), name: str = "sorted", rows: int | None = None
 ) -> DataFrame:
     """Rows sorted by (keys, order) with their partition and local position, fixed on disk.
 
     ``order_by`` must be unique within the keys; positions are then the same
-    for every run and every number of partitions.
+    for every run and every number of partitions. With ``rows``, how many
+    there are, partitions grow in number, not in size.
     """
     by = _columns([*partition_by, *order_by])
-    ordered = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    parts = enough_parts(df, rows)
+    ranged = df.repartitionByRange(parts, *by) if parts else df.repartitionByRange(*by)
+    ordered = ranged.sortWithinPartitions(*by)
     tagged = ordered.withColumn("_mono", F.monotonically_increasing_id())
     fixed = materialise(tagged, name)
     return fixed.withColumns(
@@ -65,19 +81,20 @@ def with_row_id(
     order_by: Sequence[str | Column],
     partition_by: Sequence[str] = (),
     name: str = "row_id",
+    rows: int | None = None,
 ) -> DataFrame:
     """Add a dense 0-based row number, per key when ``partition_by`` is given."""
     keys = list(partition_by)
-    rows = range_sorted(df, order_by, keys, "rowid")
+    held = range_sorted(df, order_by, keys, "rowid", rows)
     runs = (
-        rows.groupBy(PART, *_columns(keys))
+        held.groupBy(PART, *_columns(keys))
         .agg(F.min(POS).alias("_first"), F.count(F.lit(1)).alias("_n"))
         .withColumn("_shift", F.coalesce(F.sum("_n").over(_earlier(keys)), F.lit(0)) - F.col("_first"))
         .select(PART, *_columns(keys), "_shift")
     )
     if not keys:
         runs = F.broadcast(runs)  # one row per shuffle partition, whatever the data
-    joined = join_on_keys(rows, runs, [PART, *keys])
+    joined = join_on_keys(held, runs, [PART, *keys])
     return joined.select(*_columns(df.columns), (F.col(POS) + F.col("_shift")).cast("bigint").alias(name))
 
 
@@ -87,6 +104,7 @@ def running_totals(
     order_by: Sequence[str | Column],
     partition_by: Sequence[str] = (),
     prefix: str = "cum_",
+    rows: int | None = None,
 ) -> DataFrame:
     """Inclusive running sums of ``totals`` in the given order, per key.
 
@@ -94,8 +112,8 @@ def running_totals(
     so the window only ever covers rows of one range partition.
     """
     keys = list(partition_by)
-    rows = range_sorted(df, order_by, keys, "running")
-    seeds = rows.groupBy(PART, *_columns(keys)).agg(*[F.sum(c(t)).alias(t) for t in totals])
+    held = range_sorted(df, order_by, keys, "running", rows)
+    seeds = held.groupBy(PART, *_columns(keys)).agg(*[F.sum(c(t)).alias(t) for t in totals])
     seeds = seeds.select(
         PART,
         *_columns(keys),
@@ -105,7 +123,7 @@ def running_totals(
     inside = (
         Window.partitionBy(PART, *_columns(keys)).orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
     )
-    merged = rows.unionByName(seeds, allowMissingColumns=True)
+    merged = dealt(held.unionByName(seeds, allowMissingColumns=True), [PART, *keys], rows)
     return (
         merged.withColumns({prefix + t: F.sum(c(t)).over(inside) for t in totals})
         .filter(F.col(POS) >= 0)
