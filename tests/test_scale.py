@@ -112,3 +112,32 @@ def test_ward_cells_follow_the_sequential_tree(spark, monkeypatch, width):
 def test_ward_repeated_ids_end(spark):
     df = spark.createDataFrame([(i // 2, [float(i // 2)]) for i in range(40)], "id long, x array<double>")
     assert linkage.ward_merges(df, block=8).count() == 39
+
+
+@pytest.mark.parametrize("kind", ["average", "complete"])
+def test_linkage_by_rounds_follows_the_sequential_tree(spark, wide, monkeypatch, kind):
+    df, x = wide
+    df, x = df.filter("id < 20 OR id >= 40"), np.delete(x, np.s_[20:40], axis=0)
+    monkeypatch.setattr(linkage, "STRIP", 7)
+    _, merges = linkage.linked_merges(df, kind, block=100, last=60)
+    want = [h for _, _, h in cl.linkage_merges(x, kind)]
+    assert np.allclose(np.sort(merges.toPandas().height), np.sort(want), rtol=1e-9)
+    here = cl.hierarchical(df, 6, kind).toPandas().sort_values("id").cluster.tolist()
+    monkeypatch.setattr(cl, "MOST_LINKED", 50)  # it used to refuse more rows than that
+    assert cl.hierarchical(df, 6, kind).toPandas().sort_values("id").cluster.tolist() == here
+
+
+def test_silhouette_measures_each_pair_once(spark, wide, monkeypatch):
+    df, x = wide
+    seen = []
+    monkeypatch.setattr(cl, "SILHOUETTE_CHUNK", 16)
+    from tidemark.operators.prepare import vector_from_array
+
+    got = cl.silhouette_exact(vector_from_array(df.withColumnRenamed("label", "cluster"), "x"), {0: 70, 1: 70, 2: 70}, 210)
+    d, label = Metric()(x, x), np.arange(210) // 70
+    for i in range(210):
+        means = [d[i, label == k].sum() / (69 if k == label[i] else 70) for k in range(3)]
+        a, b = means[label[i]], min(m for k, m in enumerate(means) if k != label[i])
+        seen.append((b - a) / max(a, b))
+    assert got == pytest.approx(np.mean(seen), abs=1e-12)
+    assert np.allclose(metric_module.product_distances(x, x), d, atol=1e-9) and (np.diag(metric_module.product_distances(x, x)) == 0).all()

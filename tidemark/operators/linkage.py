@@ -1,4 +1,4 @@
-"""Ward linkage of tables of any size, by rounds of reciprocal nearest neighbours.
+"""Ward, average and complete linkage of tables of any size, by rounds of reciprocal nearest neighbours.
 
 A cluster is one row (id, n, s): its size and the sum of its points, which is
 all Ward's criterion needs. Ward's criterion is reducible: clusters that are
@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.plans.graph import connected_components
+from tidemark.plans.metric import WIDE_CHUNKS, matrix, product_distances
 from tidemark.plans.ordered import with_row_id
 from tidemark.plans.roles import c
 from tidemark.plans.session import materialise
@@ -41,6 +42,9 @@ CELL_SAMPLE = 24  # clusters a cell's cuts are taken from
 CELL_DIMENSIONS = 16  # components beyond which boxes bound nothing
 NEAR_BOXES = 64  # boxes a cell measures one by one; the others share one bound
 LEAST_SHARE = 0.05  # share of clusters a turn of cells has to merge
+LINK_BLOCK = 8192  # most points of a block of average or complete linkage
+STRIP = 512  # points whose distances to a block are held at once
+LAST = 2048  # clusters whose distances one task may hold
 TURN = 100_000  # round numbers set aside for a turn
 _OUT = "round int, kept long, absorbed long, height double, size long, id long, n long, s array<double>"
 
@@ -253,18 +257,151 @@ def ward_clusters(points: DataFrame, n_clusters: int, id_col: str = "id", vector
     The cut undoes the highest merges: the lowest n - k by (height, round)
     are kept, which Ward's monotone heights make a set closed under children.
     """
-    merges = ward_merges(points, id_col, vector)
+    ids = points.select(c(id_col).cast("bigint").alias("id")).filter(F.col("id").isNotNull())
+    return _cut(ward_merges(points, id_col, vector), ids, n_clusters)
+
+
+def _cut(merges: DataFrame, ids: DataFrame, n_clusters: int) -> DataFrame:
     total = merges.count() + 1
     kept = with_row_id(merges, ["height", "round", "kept", "absorbed"], name="step").filter(F.col("step") < F.lit(max(total - int(n_clusters), 0)))
     found = connected_components(kept.select(F.col("kept").alias("u"), F.col("absorbed").alias("v"))).select(F.col("node").alias("id"), F.col("component").alias("first"))
-    ids = points.select(c(id_col).cast("bigint").alias("id")).filter(F.col("id").isNotNull())
-    placed = materialise(ids.join(found, "id", "left").select("id", F.coalesce("first", "id").alias("first")), "ward-cut")
+    placed = materialise(ids.join(found, "id", "left").select("id", F.coalesce("first", "id").alias("first")), "tree-cut")
     numbers = with_row_id(placed.select("first").distinct(), ["first"], name="cluster")
     return placed.join(numbers, "first").select("id", "cluster")
 
 
-def ward_heights(points: DataFrame, id_col: str = "id", vector: str = "x") -> DataFrame:
+def heights_of(merges: DataFrame) -> DataFrame:
     """(step, distance): merge heights in increasing order."""
-    merges = ward_merges(points, id_col, vector)
     steps = with_row_id(merges, ["height", "round", "kept", "absorbed"], name="step")
     return steps.select((F.col("step") + 1).alias("step"), F.col("height").alias("distance"))
+
+
+def ward_heights(points: DataFrame, id_col: str = "id", vector: str = "x") -> DataFrame:
+    """(step, distance): Ward's merge heights in increasing order."""
+    return heights_of(ward_merges(points, id_col, vector))
+
+
+def _between(x: np.ndarray, starts: np.ndarray, y: np.ndarray, starts_y: np.ndarray, metric: str, average: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """Sums (or maxima) of the distances between clusters: the first cluster of a strip and a row per cluster of it.
+
+    Points are sorted by cluster and ``starts`` are the clusters' first rows. A
+    strip holds some small clusters or one large one, taken in pieces.
+    """
+    ufunc, ends, at = (np.add if average else np.maximum), np.append(starts[1:], len(x)), 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + STRIP, side="right")))
+        out = np.zeros((to - at, len(starts_y)))
+        for top in range(starts[at], ends[to - 1], STRIP):
+            below = min(top + STRIP, ends[to - 1])
+            d = ufunc.reduceat(product_distances(x[top:below], y, metric), starts_y, axis=1)
+            first = int(np.searchsorted(starts, top, side="right")) - 1
+            cuts = np.maximum(starts[first : int(np.searchsorted(starts, below, side="left"))], top) - top
+            rows = slice(first - at, first - at + len(cuts))
+            out[rows] = ufunc(out[rows], ufunc.reduceat(d, cuts, axis=0))
+        yield at, out
+        at = to
+
+
+def linked_merges(
+    points: DataFrame, linkage: str, metric: str = "euclidean", id_col: str = "id", vector: str = "x", block: int = LINK_BLOCK, last: int = LAST
+) -> tuple[DataFrame, DataFrame]:
+    """(row, id) and the merges (round, kept, absorbed, height) of average or complete linkage over all rows.
+
+    Both are reducible, so reciprocal nearest neighbours are merged at once. A
+    cluster's points stay in one block; a task measures two blocks and keeps
+    only each cluster's nearest, so memory is bounded while a round's work is
+    quadratic in the rows. The last clusters' distances are summed once, and
+    one task finishes their tree by the recurrence.
+    """
+    average = linkage == "average"
+    rows = points.select(c(id_col).cast("bigint").alias("id"), c(vector).cast("array<double>").alias("x"))
+    named = materialise(with_row_id(rows, ["id", "x"], name="row"), "linked-rows")
+    total = left = named.count()
+    blocks = max(1, -(-total // int(min(block, max(1024, -(-total // WIDE_CHUNKS))))))
+    state, found, at = materialise(named.select(F.col("row").alias("cluster"), "x"), "linked-state"), [], 0
+
+    def blocks_met(state: DataFrame):
+        own = F.pmod(F.xxhash64("cluster"), F.lit(blocks)).cast("int")
+        met = state.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        return met.select("cluster", "x", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).groupBy("a", "b")
+
+    def sides(pdf: pd.DataFrame):
+        out = []
+        for name in ("a", "b"):
+            side = pdf[pdf["own"] == pdf[name]].sort_values("cluster")
+            ids, starts, n = np.unique(side["cluster"].to_numpy(), return_index=True, return_counts=True)
+            out.append((matrix(side["x"]), ids, starts, n))
+        return out, pdf["a"].iloc[0] == pdf["b"].iloc[0]
+
+    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
+        ((x, ids, starts, n), (y, others, starts_y, m)), alone = sides(pdf)
+        parts, best, who = [], np.full(len(others), np.inf), np.zeros(len(others), dtype="int64")
+        if not len(ids) or not len(others):
+            return pd.DataFrame({"id": [], "d": [], "nn": []}).astype({"id": "int64", "d": "float64", "nn": "int64"})
+        for at, out in _between(x, starts, y, starts_y, metric, average):
+            here = np.arange(at, at + len(out))
+            d = out / (n[here, None] * m[None, :]) if average else out
+            if alone:
+                d[np.arange(len(here)), here] = np.inf
+            j = d.argmin(1)
+            parts.append(pd.DataFrame({"id": ids[here], "d": d[np.arange(len(here)), j], "nn": others[j]}))
+            if not alone:
+                i = d.argmin(0)
+                closer = d[i, np.arange(len(others))] < best
+                best, who = np.where(closer, d[i, np.arange(len(others))], best), np.where(closer, ids[here][i], who)
+        if not alone:
+            parts.append(pd.DataFrame({"id": others, "d": best, "nn": who}))
+        made = pd.concat(parts)
+        return made[np.isfinite(made["d"])]
+
+    while left > last:
+        best = blocks_met(state).applyInPandas(nearest, "id long, d double, nn long").groupBy("id").agg(F.min(F.struct("d", "nn")).alias("m"))
+        best = materialise(best.select("id", "m.d", "m.nn"), "linked-nearest")
+        back = best.select(F.col("id").alias("nn"), F.col("nn").alias("id"))
+        pairs = best.join(back, ["id", "nn"]).filter(F.col("id") < F.col("nn"))
+        if pairs.isEmpty():  # only rounding can hide every reciprocal pair; the closest pair is one
+            pairs = best.orderBy("d", "id", "nn").limit(1).select(F.least("id", "nn").alias("id"), F.greatest("id", "nn").alias("nn"), "d")
+        made = materialise(pairs.select(F.lit(at * TURN).alias("round"), F.col("id").alias("kept"), F.col("nn").alias("absorbed"), F.col("d").alias("height")), "linked-merges")
+        found.append(made)
+        moved = made.select(F.col("absorbed").alias("cluster"), "kept")
+        state = materialise(state.join(moved, "cluster", "left").select(F.coalesce("kept", "cluster").alias("cluster"), "x"), "linked-state")
+        left, at = left - made.count(), at + 1
+
+    def table(pdf: pd.DataFrame) -> pd.DataFrame:
+        ((x, ids, starts, n), (y, others, starts_y, m)), _ = sides(pdf)
+        if not len(ids) or not len(others):
+            return pd.DataFrame({"id": [], "n": [], "others": [], "d": []}).astype({"id": "int64", "n": "int64"})
+        out = np.concatenate([d for _, d in _between(x, starts, y, starts_y, metric, average)])
+        d = out / (n[:, None] * m[None, :]) if average else out
+        return pd.DataFrame({"id": ids, "n": n, "others": [others] * len(ids), "d": list(d)})
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = np.unique(pdf["id"].to_numpy())
+        d, size = np.full((len(ids), len(ids)), np.inf), np.ones(len(ids))
+        for i, n, others, row in zip(pdf["id"], pdf["n"], pdf["others"], pdf["d"]):
+            i, j = np.searchsorted(ids, i), np.searchsorted(ids, others)
+            d[i, j], d[j, i], size[i] = row, row, n
+        np.fill_diagonal(d, np.inf)
+        merges = []
+        for step in range(len(ids) - 1):
+            i, j = sorted(divmod(int(np.argmin(d)), len(ids)))
+            merges.append((at * TURN + step, ids[i], ids[j], float(d[i, j])))
+            new = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j]) if average else np.maximum(d[i], d[j])
+            d[i], d[:, i], d[j], d[:, j] = new, new, np.inf, np.inf
+            d[i, i] = np.inf
+            size[i] += size[j]
+        return pd.DataFrame(merges, columns=["round", "kept", "absorbed", "height"])
+
+    rest = blocks_met(state).applyInPandas(table, "id long, n long, others array<long>, d array<double>").withColumn("_all", F.lit(0))  # at most ``last`` clusters
+    found.append(materialise(rest.groupBy("_all").applyInPandas(finish, "round int, kept long, absorbed long, height double"), "linked-merges"))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return named.select("row", "id"), out
+
+
+def linked_clusters(points: DataFrame, n_clusters: int, linkage: str, metric: str = "euclidean", id_col: str = "id", vector: str = "x") -> DataFrame:
+    """(id, cluster): the average or complete linkage tree cut into ``n_clusters``, clusters numbered by their smallest row."""
+    named, merges = linked_merges(points, linkage, metric, id_col, vector)
+    cut = _cut(merges, named.select(F.col("row").alias("id")), n_clusters)
+    return named.join(cut.select(F.col("id").alias("row"), "cluster"), "row").select("id", "cluster")

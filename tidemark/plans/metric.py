@@ -102,6 +102,26 @@ def screened(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray] | No
     return left @ right.T, error + 1e-37
 
 
+def product_distances(a: np.ndarray, b: np.ndarray, metric: str = "euclidean") -> np.ndarray:
+    """``distances`` for sums of many: Euclidean ones from one product, those too short for it measured."""
+    if metric not in ("euclidean", "l2") or a.shape[1] <= 2 or not len(a) or not len(b):
+        return distances(a, b, metric)
+    centre = b.mean(0)
+    p, q = a - centre, b - centre
+    np_, nq = (p * p).sum(1), (q * q).sum(1)
+    scale = (np.sqrt(np_) + np.sqrt(nq.max())) ** 2
+    if not np.isfinite(scale).all():
+        return distances(a, b, metric)
+    square = np.concatenate([p, np_[:, None], np.ones((len(p), 1))], axis=1) @ np.concatenate([-2.0 * q, np.ones((len(q), 1)), nq[:, None]], axis=1).T
+    i, j = places(square <= 1e-7 * scale[:, None])
+    np.maximum(square, 0.0, out=square)
+    np.sqrt(square, out=square)
+    for at in range(0, len(i), 1 << 18):
+        s = slice(at, at + (1 << 18))
+        square[i[s], j[s]] = pair_distances(a[i[s]], b[j[s]])
+    return square
+
+
 def places(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row and column of every true cell of a mask that is mostly false."""
     flat = mask.ravel()
