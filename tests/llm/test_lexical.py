@@ -68,3 +68,21 @@ def test_search_odd_cases(spark):
     assert run(spark, docs, [(1, "b")], 10, scratch=False) == slow_search(docs, [(1, "b")], 10)
     long_text = "a " * 200_000 + "b"
     assert run(spark, [(1, long_text), (2, "b c"), (3, "c")], [(9, "b")], 10) == slow_search([(1, long_text), (2, "b c"), (3, "c")], [(9, "b")], 10)
+
+
+def test_queries_in_blocks_and_products_in_parts_find_the_same(spark, monkeypatch):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(30)]
+    docs = [(i, " ".join(rng.choice(words[: 3 + i % 28]) for _ in range(rng.choice([1, 5, 60])))) for i in range(200)]
+    queries = [(i, " ".join(rng.sample(words, 4))) for i in range(9)]
+    monkeypatch.setattr(lexical, "QUERY_BLOCK", 3)
+    assert run(spark, docs, queries, 5) == slow_search(docs, queries, 5)
+
+
+def test_postings_are_written_once_and_not_shuffled(spark, tmp_path):
+    """The scores' plan reads the index and sends only each task's best to the ranking."""
+    docs = spark.createDataFrame([(i, f"w{i % 7} the w{i % 3}") for i in range(60)], "doc_id long, text string")
+    scratch = Scratch(spark, "t")
+    found = lexical.search(docs, spark.createDataFrame([(1, "the w1 w2")], "item_id long, text string"), spark_scratch=scratch)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Aggregate" not in plan and "index" in scratch.paths
