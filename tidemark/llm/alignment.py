@@ -7,13 +7,13 @@ U+2581 as a space and ``<0xHH>`` as byte HH. Byte offsets where an A token and
 a B token both end cut a text into groups; an A and a B token occurrence are
 linked when their byte ranges overlap.
 
-The work per batch of texts stays in Arrow: token lists are flattened with
-their parent indices, token ends are segmented cumulative sums of byte
-lengths, a hash join on (text, end) lines up the ends of both tokenizations
-(ends met on both sides cut groups; every end of either side closes one link,
-whose tokens are the next A and the next B end), and ``Table.group_by`` counts
-links per text and pairs per batch. Spark sums the batches' pair counts, finds
-each A id's highest count and joins them back to the links of each text.
+The work per batch of texts stays in arrays: both token lists of the texts that
+are spelled are flattened, token ends are cumulative sums of byte lengths and
+marked on one line of bytes per side (ends met on both sides cut groups; every
+end of either side closes one link, whose tokens are the next A and the next B
+end), sorted keys count links per text and pairs per batch, and the written
+groups are looked up id by id. Spark sums the batches' pair counts, finds each
+A id's highest count and joins them back to the links of each text.
 
 Defined results: a text that is null or empty, or whose A or B bytes do not
 join to the space and the text, has no tokens: all counts 0 and
@@ -25,8 +25,10 @@ encoded whole.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,70 +53,77 @@ OUT_DDL = ("kind byte, row long, doc_id long, n_a long, n_b long, n_groups long,
 DOC, LINKS, COUNTS = 0, 1, 2
 
 
-def _ends(lists: pa.ListArray, sizes: np.ndarray, keep: np.ndarray) -> pa.Table:
-    """(doc, end, id, at) of every token of the texts in ``keep``: ends are cumulative byte lengths within each text."""
-    ids = pc.list_flatten(lists)
-    doc = pc.list_parent_indices(lists).to_numpy().astype(np.int64)
-    ids_np = ids.to_numpy(zero_copy_only=False).astype(np.int64)
-    total = np.cumsum(sizes[ids_np]) if len(ids_np) else np.zeros(0, np.int64)
-    offsets = lists.offsets.to_numpy()[:-1]
-    before = np.where(offsets > 0, np.concatenate([[0], total])[offsets], 0)
-    ends = total - before[doc] if len(doc) else total
-    at = np.arange(len(doc)) - offsets[doc] if len(doc) else np.zeros(0, np.int64)
-    chosen = keep[doc] if len(doc) else np.zeros(0, bool)
-    return pa.table({"doc": doc[chosen], "end": ends[chosen], "id": ids_np[chosen].astype(np.int32), "at": at[chosen]})
-
-
 def _joined(parts: list[bytes], ids: list[int]) -> bytes:
     return b"".join(map(parts.__getitem__, ids))
 
 
+@functools.lru_cache(maxsize=4)
+def _written(size_a: int, size_b: int) -> list[bytes]:
+    """What stands in a text's groups for an A id inside a group, an A id before the bar, a B id inside and a B id at the end of a group."""
+    return [b"%d%s" % (i, mark) for size, marks in ((size_a, (b",", b"|")), (size_b, (b",", b";"))) for mark in marks for i in range(size)]
+
+
+def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and how often each occurs."""
+    values = np.sort(values)
+    starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
+    return values[starts], np.diff(np.r_[starts, len(values)])
+
+
 def align_batch(texts: list[str | None], a_path: str, b_path: str, pattern: str = PATTERN) -> tuple[dict, pa.Table, pa.Table]:
     """Per text (n_a, n_b, n_groups, n_links, groups_sha256), its links with counts (doc, a, b, k) and the batch's pair counts (a, b, k)."""
     model_b = tokens.piece_model(b_path)
     a_bytes, b_bytes = tokens.byte_bpe_bytes(a_path), tokens.piece_bytes(b_path)
-    a_sizes = np.array([len(x) for x in a_bytes], np.int64)
-    b_sizes = np.array([len(x) for x in b_bytes], np.int64)
+    a_sizes, b_sizes = tokens.byte_sizes(tokens.byte_bpe_bytes, a_path), tokens.byte_sizes(tokens.piece_bytes, b_path)
     plain = ["" if t is None else t for t in texts]
     a_ids = tokens.encode_bytes_bpe(a_path, pattern, [" " + t for t in plain], plain_specials=True)
     b_ids = model_b.encode(plain, num_threads=1)
-    keep = np.array([bool(t) and _joined(a_bytes, a) == (" " + t).encode() and _joined(b_bytes, b) == (" " + t).encode()
-                     for t, a, b in zip(plain, a_ids, b_ids)], bool)
-    ends_a = _ends(pa.array(a_ids, pa.list_(pa.int64())), a_sizes, keep)
-    ends_b = _ends(pa.array(b_ids, pa.list_(pa.int64())), b_sizes, keep)
-    both = ends_a.join(ends_b, keys=["doc", "end"], join_type="full outer", left_suffix="_a", right_suffix="_b")
-    both = both.sort_by([("doc", "ascending"), ("end", "ascending")]).combine_chunks()
-    cut = pc.cast(pc.and_(pc.is_valid(both["id_a"]), pc.is_valid(both["id_b"])), pa.int64())
-    links = pa.table({"doc": both["doc"], "a": pc.fill_null_backward(both["id_a"]), "b": pc.fill_null_backward(both["id_b"]), "cut": cut,
-                      "own_a": both["id_a"], "own_b": both["id_b"]})
-    per_doc = links.group_by("doc").aggregate([("a", "count"), ("cut", "sum")])
-    pairs = links.group_by(["doc", "a", "b"]).aggregate([([], "count_all")])
-    pairs = pa.table({"doc": pairs["doc"], "a": pairs["a"], "b": pairs["b"], "k": pairs["count_all"]}).combine_chunks()
-    counts = pairs.group_by(["a", "b"]).aggregate([([], "count_all")])
-    counts = pa.table({"a": counts["a"], "b": counts["b"], "k": counts["count_all"]}).combine_chunks()
+    kept, n_bytes = [], []
+    for i, (t, a, b) in enumerate(zip(plain, a_ids, b_ids)):
+        want = b" " + t.encode()
+        if t and _joined(a_bytes, a) == want and _joined(b_bytes, b) == want:
+            kept.append(i)
+            n_bytes.append(len(want))
+    docs = np.array(kept, np.int64)
+    n_a, n_b = (np.array([len(ids[i]) for i in kept], np.int64) for ids in (a_ids, b_ids))
+    flat_a, flat_b = (np.fromiter(chain.from_iterable(ids[i] for i in kept), np.int64, int(n.sum())) for ids, n in ((a_ids, n_a), (b_ids, n_b)))
+
+    # Both sides spell the same bytes, so ends are places in all kept texts joined; the last of a text is on both sides.
+    text_ends = np.cumsum(np.array(n_bytes, np.int64))
+    met = np.zeros((2, int(text_ends[-1]) + 1 if kept else 1), bool)
+    met[0, np.cumsum(a_sizes[flat_a])] = True
+    met[1, np.cumsum(b_sizes[flat_b])] = True
+    ends = np.flatnonzero(met[0] | met[1])
+    own_a, own_b = met[0, ends], met[1, ends]
+    cut = own_a & own_b
+    at_a, at_b = np.cumsum(own_a) - own_a, np.cumsum(own_b) - own_b  # the tokens that an end closes, or that go on over it
+    last = np.searchsorted(ends, text_ends)  # each text's last link
+    n_links, n_groups = np.diff(np.r_[-1, last]), np.diff(np.r_[0, np.cumsum(cut)[last]])
+
+    linked = flat_a[at_a] * len(b_sizes) + flat_b[at_b]
+    every = len(a_sizes) * len(b_sizes)
+    keys, k = _counted(np.repeat(docs, n_links) * every + linked)
+    pair = keys % every
+    pairs = pa.table({"doc": keys // every, "a": pair // len(b_sizes), "b": pair % len(b_sizes), "k": k})
+    pair, k = _counted(pair)
+    counts = pa.table({"a": pair // len(b_sizes), "b": pair % len(b_sizes), "k": k})
 
     n = len(plain)
     stats = {name: np.zeros(n, np.int64) for name in ("n_a", "n_b", "n_groups", "n_links")}
-    stats["n_a"] += np.bincount(ends_a["doc"].to_numpy(), minlength=n)
-    stats["n_b"] += np.bincount(ends_b["doc"].to_numpy(), minlength=n)
-    docs = per_doc["doc"].to_numpy()
-    stats["n_links"][docs] = per_doc["a_count"].to_numpy()
-    stats["n_groups"][docs] = per_doc["cut_sum"].to_numpy()
+    for name, values in (("n_a", n_a), ("n_b", n_b), ("n_groups", n_groups), ("n_links", n_links)):
+        stats[name][docs] = values
     stats["groups_sha256"] = [""] * n
-    if len(links):
-        d, own_a, own_b, c = (links[x].to_numpy(zero_copy_only=False) for x in ("doc", "own_a", "own_b", "cut"))
-        starts = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-        for s, e in zip(starts, np.r_[starts[1:], len(d)]):
-            out, group_a, group_b = [], [], []
-            for x, y, z in zip(own_a[s:e], own_b[s:e], c[s:e]):
-                if x == x and x is not None:
-                    group_a.append(str(int(x)))
-                if y == y and y is not None:
-                    group_b.append(str(int(y)))
-                if z:
-                    out.append(",".join(group_a) + "|" + ",".join(group_b))
-                    group_a, group_b = [], []
-            stats["groups_sha256"][int(d[s])] = hashlib.sha256(";".join(out).encode()).hexdigest()
+
+    # Written form: a group's A ids come after the B ids of all groups before, its B ids after its own A ids.
+    closes_a, closes_b = cut[own_a], cut[own_b]
+    before_a, before_b = np.r_[0, np.flatnonzero(closes_a) + 1], np.r_[0, np.flatnonzero(closes_b) + 1]  # tokens before each group
+    out = np.empty(len(flat_a) + len(flat_b), np.int64)
+    out[np.arange(len(flat_a)) + before_b[np.cumsum(closes_a) - closes_a]] = flat_a + closes_a * len(a_sizes)
+    out[np.arange(len(flat_b)) + before_a[np.cumsum(closes_b) - closes_b + 1]] = flat_b + 2 * len(a_sizes) + closes_b * len(b_sizes)
+    written = _written(len(a_sizes), len(b_sizes))
+    bounds = np.r_[0, np.cumsum(n_a + n_b)]
+    for i, s, e in zip(kept, bounds, bounds[1:]):
+        stats["groups_sha256"][i] = hashlib.sha256(_joined(written, out[s:e].tolist())[:-1]).hexdigest()
     return stats, pairs, counts
 
 
