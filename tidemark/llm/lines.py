@@ -22,10 +22,22 @@ NEAR = 0.5  # estimated share of common word runs from which two documents are n
 VARIABLE = "<*>"
 
 
-def masked(line: Column) -> Column:
-    """The line with single blanks between tokens; a token with a digit is a variable field."""
-    tidy = F.trim(F.regexp_replace(line, "[ \t\r]+", " "))
-    return F.when(tidy.rlike("[0-9]"), F.regexp_replace(tidy, "[^ ]*[0-9][^ ]*", VARIABLE)).otherwise(tidy)
+def blanks(text: Column, *others: str) -> Column:
+    """The text with a blank for each of the other characters; searches bytes, unlike translate, which looks up each character."""
+    for c in others:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
+
+
+def masked(text: Column) -> Column:
+    """A tidied text in which each token with a digit is a variable field; tokens end at blanks and line ends."""
+    return F.when(text.rlike("[0-9]"), F.regexp_replace(text, "(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*", VARIABLE)).otherwise(text)
+
+
+def tidied(text: Column) -> Column:
+    """The text with single blanks between the tokens of a line and none around them."""
+    single = F.regexp_replace(blanks(text, "\t", "\r"), "  +", " ")
+    return F.trim(F.replace(F.replace(single, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n")))
 
 
 def line_rows(docs: DataFrame, id_col: str, text_col: str, key: Column) -> DataFrame:
@@ -35,9 +47,10 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, key: Column) -> DataF
     tokens, ``rest`` the hashed segments of its other tokens. ``doc`` is the
     smallest hash of the document's lines, so that copies share it mostly.
     """
-    lines = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1), masked)
+    # Whole texts are tidied and masked, each in a projection of its own: inside a lambda both would run line by line, and again for every use.
+    tidy = docs.select(key.alias("row"), F.col(id_col).alias("id"), tidied(F.coalesce(F.col(text_col), F.lit(""))).alias("tidy"))
     hashes = F.transform("lines", lambda m: F.md5(m.cast("binary")))
-    per_doc = docs.select(key.alias("row"), F.col(id_col).alias("id"), lines.alias("lines")).select("row", "id", "lines", hashes.alias("hashes"))
+    per_doc = tidy.select("row", "id", F.split(masked(F.col("tidy")), "\n", -1).alias("lines")).select("row", "id", "lines", hashes.alias("hashes"))
     least = F.array_min(F.array_remove("hashes", "d41d8cd98f00b204e9800998ecf8427e"))  # that of a blank line
     own = F.size(F.filter("lines", lambda m: m != ""))
     rows = per_doc.select("row", "id", own.alias("own"), least.alias("doc"), F.posexplode(F.arrays_zip("lines", "hashes")).alias("pos", "it")).filter("it.lines <> ''")
@@ -91,12 +104,19 @@ def leaf_templates(rows: DataFrame, of: DataFrame, scratch: Scratch) -> DataFram
 
 
 def sketches(docs: DataFrame, text_col: str, key: Column) -> DataFrame:
-    """(row, sketch): the least hashes of a document's runs of words, blank documents left out."""
-    words = F.array_remove(F.split(masked(F.translate(F.col(text_col), "\n", " ")), " "), "")
-    hashed = docs.select(key.alias("row"), F.transform(words, lambda w: F.xxhash64(w)).alias("w")).filter(F.size("w") > 0)
-    shifted = [F.slice("w", F.lit(i + 1), F.greatest(F.size("w") - WORDS + 1, F.lit(1))) for i in range(WORDS)]
-    runs = F.when(F.size("w") < WORDS, F.array(F.xxhash64("w"))).otherwise(F.transform(F.arrays_zip(*[x.alias(f"w{i}") for i, x in enumerate(shifted)]), lambda r: F.xxhash64(r)))
-    return hashed.select("row", F.slice(F.sort_array(F.array_distinct(runs)), 1, SKETCH).alias("sketch"))
+    """(row, sketch): the least hashes of a document's runs of words, null for a blank document.
+
+    No filter on what is made here: Spark would put it below the projections
+    and make the words a second time for it.
+    """
+    tidy = docs.select(key.alias("row"), blanks(F.col(text_col), "\n", "\t", "\r").alias("tidy")).select("row", masked(F.col("tidy")).alias("tidy"))
+    hashes = F.transform(F.split("tidy", " "), lambda w: F.xxhash64(w))
+    hashed = tidy.select("row", F.array_remove(hashes, F.xxhash64(F.lit(""))).alias("w"))  # without what stands between two blanks
+    shifted = [F.slice("w", i + 1, 1 << 30).alias(f"w{i}") for i in range(1, WORDS)]
+    runs = F.transform(F.arrays_zip(F.col("w").alias("w0"), *shifted), lambda r: F.xxhash64(r))
+    runs = F.slice(runs, 1, F.greatest(F.size("w") - WORDS + 1, F.lit(1)))  # the last ones reach over the end
+    runs = F.when(F.size("w") < WORDS, F.array(F.xxhash64("w"))).otherwise(runs)
+    return hashed.select("row", F.when(F.size("w") > 0, F.slice(F.sort_array(F.array_distinct(runs)), 1, SKETCH)).alias("sketch"))
 
 
 def families(docs: DataFrame, text_col: str, key: Column, scratch: Scratch) -> DataFrame:
@@ -107,7 +127,7 @@ def families(docs: DataFrame, text_col: str, key: Column, scratch: Scratch) -> D
     together are in both. What few lines share is not enough, whichever they
     are, so documents with the same boilerplate stay apart.
     """
-    made = scratch.keep("sketches", sketches(docs, text_col, key).withColumn("doc", F.xxhash64("sketch")))
+    made = scratch.keep("sketches", sketches(docs, text_col, key).withColumn("doc", F.xxhash64("sketch"))).filter("sketch is not null")
     texts = scratch.keep("texts", made.groupBy("doc").agg(F.first("sketch").alias("sketch")))
     probed = texts.select("doc", F.explode(F.slice("sketch", 1, PROBES)).alias("probe"))
     # Each probe has two meeting points, so that one document does not decide for all with a common line.
