@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import struct
 
 import numpy as np
 import pytest
@@ -289,3 +290,32 @@ def test_secrets_of_odd_rows(spark):
 def test_one_row_per_input_row(spark):
     docs = odd(spark)
     assert secrets.scan_secrets(docs.withColumn("text", F.lit(None).cast("string"))).count() == len(ODD)
+
+
+def slow_sketch(text):
+    """The least hashes of runs of three words; Spark's xxhash64 of several values takes each hash as the next one's seed."""
+    def signed(x):
+        return x - (1 << 64) if x >> 63 else x
+
+    words = ["<*>" if re.search("[0-9]", w) else w for w in re.split("[ \t\r\n]+", text or "") if w]
+    hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
+    runs = [hashes[i : i + lines.WORDS] for i in range(len(hashes) - lines.WORDS + 1)] or [hashes] * bool(hashes)
+    out = set()
+    for run in runs:
+        seed = 42
+        for h in run:
+            seed = xxhash.xxh64_intdigest(struct.pack("<Q", h), seed)
+        out.add(signed(seed))
+    return sorted(out)[: lines.SKETCH] or None
+
+
+def test_sketches_make_their_words_once(spark):
+    """A filter on what is made was pushed below the projections and made the words of every text again."""
+    rng = random.Random(31)
+    texts = [None, "", " \n\t \r", "a", "a  b", " x1 \n 2 y\r\nz\t\tw ", "α1β γ δ\fε x9", "a b c a b c a b c"]
+    texts += ["\n".join(sentence(rng, 30) + rng.choice(["", " ", " 7z", "\t"]) for _ in range(12)) for _ in range(5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = lines.sketches(docs, "text", F.col("doc_id"))
+    assert {r.row: r.sketch for r in made.collect()} == {i: slow_sketch(t) for i, t in enumerate(texts)}
+    plan = lines.sketches(docs, "text", F.col("doc_id"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan and plan.count("split(") == 1
