@@ -7,6 +7,7 @@ import tracemalloc
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +120,42 @@ def test_texts_survive_encoding(spark):
     assert pieces.encode_texts(docs.limit(0)).count() == 0
 
 
+def test_words_segmented_together_are_those_segmented_alone():
+    rng = random.Random(41)
+    texts = ["", " ", "\n\n \n", "a" * 64, "a" * 65, "漢" * 70, "x" + "é" * 64, "<0x41>▁ ▁", "\x00 \x01"]
+    texts += ["".join(rng.choice("ab e é漢🙂\n\tthing.,  " + chr(rng.randrange(32, 0x3000))) for _ in range(rng.randrange(150))) for _ in range(300)]
+    together, alone = pieces.Vocabulary(pieces.MODEL), pieces.Vocabulary(pieces.MODEL)
+    one_by_one = []
+    together.best = one_by_one.append  # not to be called
+    together.known.segment = together.best
+    for (ids, score, others), text in zip(pieces.encode_all(together, texts), texts, strict=True):
+        by_text = pieces.encode(alone, text)
+        assert ids.tolist() == by_text[0].tolist() and (score, others) == by_text[1:]
+    assert not one_by_one
+
+
+def test_few_remembered_words_give_the_same(monkeypatch):
+    texts = [f"word{k % 7} other{k} and more, {k * k}" for k in range(200)]
+    want = pieces.encode_all(pieces.Vocabulary(pieces.MODEL), texts)
+    monkeypatch.setattr(pieces, "CACHED", 20)
+    monkeypatch.setattr(pieces, "TOGETHER", 100)
+    monkeypatch.setattr(pieces, "BLOCK", 3)
+    got = pieces.encode_all(pieces.Vocabulary(pieces.MODEL), texts)
+    assert [(a.tolist(), *b) for a, *b in got] == [(a.tolist(), *b) for a, *b in want]
+
+
+def test_idle_workers_hold_no_words(spark):
+    docs = spark.createDataFrame([(k, f"word{k} other{k}") for k in range(400)], "doc_id long, text string").repartition(8)
+    assert pieces.encode_texts(docs).filter("n_tokens > 0").count() == 400
+
+    def held(parts):
+        for part in parts:
+            v = pieces.vocabulary(pieces.MODEL)
+            yield pa.record_batch([pa.array([len(v.known) + len(v.known.older) + len(v.ranked)] * part.num_rows, pa.int64())], ["n"])
+
+    assert {r.n for r in spark.range(0, 64, 1, 8).mapInArrow(held, "n long").collect()} == {0}
+
+
 def test_long_words_are_ranked_without_a_copy_of_the_tail_per_step():
     v = pieces.vocabulary(pieces.MODEL)
     rng = random.Random(5)

@@ -18,7 +18,9 @@ from tidemark.llm.common import in_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BEST = 4  # segmentations of a text
-CACHED = 400_000  # words whose segmentation a worker remembers, and as many older ones
+CACHED = 300_000  # words whose segmentation a task remembers, and as many older ones
+TOGETHER = 1_000_000  # characters of texts whose new words are segmented together
+BLOCK = 16_384  # words of similar length in one pass
 NORMAL, BYTE = 1, 6  # kinds of pieces in the model file
 SPACE = "▁"  # how the vocabulary writes a blank
 UNUSED = -1e8  # pieces below this score are there for decoding
@@ -39,11 +41,27 @@ class _Known(dict):
         if hit is None:
             hit = self.segment(word)
         if len(self) >= CACHED:
-            self.older = dict(self)
-            self.clear()
+            self.age()
         self[word] = hit
         return hit
 
+    def age(self) -> None:
+        self.older = dict(self)
+        self.clear()
+
+    def new(self, words: set[str]) -> list[str]:
+        """Those of the words that are not known; the others are among the younger half afterwards."""
+        if len(self) >= CACHED:
+            self.age()
+        fresh, older = [], self.older
+        for word in words.difference(self):
+            hit = older.get(word)
+            if hit is None:
+                fresh.append(word)
+            else:
+                self[word] = hit
+        return fresh
+
 
 class Vocabulary:
     """Pieces with ids and scores; a blank is written as itself, so the sign SPACE in a text is a character like any other."""
@@ -80,9 +98,31 @@ class Vocabulary:
         # Words are cut before blanks and around line ends, unless a piece reaches across.
         crosses = any(" " in t.lstrip(" ") or ("\n" in t and len(t) > 1) for t in self.ids)
         self.words = re.compile(r"(?s).+" if crosses else r" *[^ \n]+| +|\n")
+        self._flatten()
         self.known = _Known(self.best)
         self.ranked: dict[tuple[str, int], list[tuple[float, tuple[int, ...]]]] = {}
 
+    def _flatten(self) -> None:
+        """The tree as sorted arrays: a node and a character lead to the place of (next node, piece, its score)."""
+        letters = sorted({c for t in self.ids for c in t})
+        self.letter = np.zeros(ord(letters[-1]) + 2, np.int64)  # 0 is any other character
+        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.width = len(letters) + 1
+        keys, pieces, scores, queue = [], [], [], [(0, self.tree)]
+        for at, down in queue:  # grows as it is read
+            for char, (below, piece, score) in down.items():
+                keys.append(at * self.width + int(self.letter[ord(char)]))
+                pieces.append(piece)
+                scores.append(score)
+                queue.append((len(keys), below))
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys = np.array(keys, np.int64)[order]
+        self.next = order + 1
+        self.piece = np.array(pieces, np.int32)[order]
+        self.score = np.array(scores, np.float64)[order]
+        pairs = np.array([ord(p[0]) << 32 | ord(p[1]) for p in self.joined], np.int64)
+        self.pairs = np.sort(pairs)
+
     def edges(self, word: str) -> list[tuple[int, int, float, int]]:
         """The piece lattice: (start, end, score, id) in order of starts; id -1 is a character spelled in bytes."""
         out, n = [], len(word)
@@ -164,6 +204,127 @@ class Vocabulary:
         ids.reverse()
         return array("i", ids).tobytes(), alpha[n], alpha[n] - second[n]
 
+    def learn(self, words: set[str]) -> None:
+        """Makes ``known`` hold what ``best`` returns of these words; all new ones are segmented together."""
+        known = self.known
+        fresh = known.new(words)
+        if not fresh:
+            return
+        whole, cut = [], []
+        for word, parts in zip(fresh, self.all_parts(fresh)):
+            if parts is None:
+                whole.append(word)
+            else:
+                cut.append((word, parts))
+        self._segment(whole)
+        self._segment([p for p in {p for _, parts in cut for p in parts} if p not in known])
+        for word, parts in cut:
+            spelled, scores, gaps = zip(*[known[p] for p in parts])
+            known[word] = b"".join(spelled), sum(scores), min(gaps)
+
+    def forget(self) -> None:
+        """A worker that waits for its next task holds no words."""
+        self.known.clear()
+        self.known.older = {}
+        self.ranked.clear()
+
+    def all_parts(self, words: list[str]) -> list[list[str] | None]:
+        """``parts`` of every word, None for one that is not cut."""
+        codes, ends = _codes(words)
+        pairs = codes[:-1] << 32 | codes[1:]
+        cuts = np.ones(len(codes), bool)
+        if len(self.pairs):
+            cuts[1:] = self.pairs[np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)] != pairs
+        cuts[np.r_[0, ends[:-1]]] = False
+        at = np.flatnonzero(cuts)
+        owner = np.searchsorted(ends, at, "right")
+        out: list[list[str] | None] = [None] * len(words)
+        starts, last = ends - np.diff(ends, prepend=0), {}
+        for k, i in zip(owner.tolist(), (at - starts[owner]).tolist()):
+            if out[k] is None:
+                out[k] = []
+            out[k].append(words[k][last.get(k, 0) : i])
+            last[k] = i
+        for k, i in last.items():
+            out[k].append(words[k][i:])
+        return out
+
+    def _segment(self, words: list[str]) -> None:
+        known = self.known
+        words = sorted(words, key=len)
+        for at in range(0, len(words), BLOCK):
+            block = words[at : at + BLOCK]
+            long = [w for w in block if len(w) > LONG]
+            for word in long:
+                known[word] = self.two_best(word)
+            if len(long) < len(block):
+                block = block[: len(block) - len(long)]
+                known.update(zip(block, self.two_best_of_all(block)))
+
+    def two_best_of_all(self, words: list[str]) -> Iterator[tuple[bytes, float, float]]:
+        """What ``two_best`` returns, of words in the order of their lengths: its pass with one step for all words at a place."""
+        flat, ends = _codes(words)
+        sizes = np.diff(ends, prepend=0)
+        many, longest = len(words), int(sizes[-1])
+        rows = np.arange(many)
+        chars = np.zeros((longest, many), np.int64)
+        within = np.arange(len(flat)) - np.repeat(ends - sizes, sizes)
+        chars[within, np.repeat(rows, sizes)] = self.letter[np.minimum(flat, len(self.letter) - 1)]
+        alpha, second = np.full((longest + 1, many), LEAST), np.full((longest + 1, many), LEAST)
+        alpha[0] = 0.0
+        back, piece = np.zeros((longest + 1, many), np.int32), np.full((longest + 1, many), -1, np.int32)
+
+        def offer(j: int, i: int, at: np.ndarray, a: np.ndarray, b: np.ndarray, s: np.ndarray | float, by: np.ndarray | int) -> None:
+            score, was, next_best = a + s, alpha[j][at], second[j][at]
+            better = score > was
+            second[j][at] = np.where(better, np.maximum(was, b + s), np.maximum(next_best, score))
+            alpha[j][at] = np.where(better, score, was)
+            at = at[better]
+            back[j][at] = i
+            piece[j][at] = by[better] if isinstance(by, np.ndarray) else by
+
+        for i in range(longest):
+            begun = int(np.searchsorted(sizes, i, "right"))  # words that go on here are the last ones
+            at, node, j = rows[begun:], np.zeros(many - begun, np.int64), i
+            lone = np.ones(many, bool)
+            while len(at):
+                wanted = node * self.width + chars[j][at]
+                place = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+                there = self.keys[place] == wanted
+                at, place = at[there], place[there]
+                j += 1
+                ids = self.piece[place]
+                whole = ids >= 0
+                ended, ids = at[whole], ids[whole]
+                if len(ended):
+                    if j == i + 1:
+                        lone[ended] = False
+                    offer(j, i, ended, alpha[i][ended], second[i][ended], self.score[place[whole]], ids)
+                node = self.next[place]
+                if j == longest:
+                    break
+                goes_on = sizes[at] > j
+                at, node = at[goes_on], node[goes_on]
+            unknown = begun + np.flatnonzero(lone[begun:])
+            if len(unknown):
+                offer(i + 1, i, unknown, alpha[i][unknown], second[i][unknown], self.unknown, -1)
+        best = alpha[sizes, rows]
+        gaps = best - second[sizes, rows]
+        # From the ends: the ids of a word are the last ones of its row.
+        line, at, column, in_bytes = np.zeros((many, longest), np.int32), sizes.copy(), longest, np.zeros(many, bool)
+        left, first = rows, np.zeros(many, np.int64)
+        while len(left):
+            column -= 1
+            ids = piece[at[left], left]
+            line[left, column] = ids
+            first[left] = column
+            in_bytes[left[ids < 0]] = True
+            at[left] = back[at[left], left]
+            left = left[at[left] > 0]
+        spelled = line.tobytes()
+        for word, begin, end, odd, score, gap in zip(words, (4 * (rows * longest + first)).tolist(), (4 * (rows + 1) * longest).tolist(), in_bytes.tolist(), best.tolist(), gaps.tolist()):
+            yield self.two_best(word) if odd else (spelled[begin:end], score, gap)
+
     def n_best(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         if len(word) > LONG:
             return n_best_of_long(self, word, n)
@@ -175,6 +336,12 @@ class Vocabulary:
         return hit
 
 
+def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all words, and where each word ends."""
+    codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+    return codes, np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+
+
 def forward(edges: list[tuple[int, int, float, int]], n: int) -> tuple[list[float], list]:
     """Viterbi: the best score of every prefix, and its last edge; of equal ones the longer piece."""
     alpha, back = [0.0] + [LEAST] * n, [None] * (n + 1)
@@ -275,6 +442,19 @@ def n_best_of_long(vocabulary: Vocabulary, word: str, n: int) -> list[tuple[floa
     return [(tail.score, tail.ids()) for tail in best[0]]
 
 
+def encode_all(vocabulary: Vocabulary, texts: list[str], n: int = BEST) -> list[tuple[np.ndarray, float, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]]:
+    """``encode`` of every text; new words of about TOGETHER characters of text are segmented together."""
+    out, words, size = [], [], 0
+    for at, text in enumerate(texts, 1):
+        words.append(vocabulary.words.findall(" " + text) if text else [])
+        size += len(text)
+        if size >= TOGETHER or at == len(texts):
+            vocabulary.learn(set().union(*words))
+            out += [_encode(vocabulary, w, n) for w in words]
+            words, size = [], 0
+    return out
+
+
 def encode(vocabulary: Vocabulary, text: str, n: int = BEST) -> tuple[np.ndarray, float, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]:
     """Best ids and score of a whole text, and its next ``n - 1`` segmentations as edits of the best.
 
@@ -283,9 +463,12 @@ def encode(vocabulary: Vocabulary, text: str, n: int = BEST) -> tuple[np.ndarray
     differ in the ``n`` best, as each of them alone is a better change than any
     other word. An edit is (first token, tokens it replaces, new ids).
     """
-    if not text:
+    return _encode(vocabulary, vocabulary.words.findall(" " + text) if text else [], n)
+
+
+def _encode(vocabulary: Vocabulary, words: list[str], n: int) -> tuple[np.ndarray, float, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]:
+    if not words:
         return np.zeros(0, np.int32), 0.0, []
-    words = vocabulary.words.findall(" " + text)
     spelled, scores, gaps = zip(*map(vocabulary.known.__getitem__, words))
     ids, score = np.frombuffer(b"".join(spelled), np.int32), float(sum(scores))
     if n < 2:
@@ -365,14 +548,15 @@ def encode_texts(docs: DataFrame, model: str = MODEL, n: int = BEST, text_col: s
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
+        v.forget()  # of a task that was not read to its end
         for part in parts:
-            texts = part.column(text_col).to_pylist()
-            got = [encode(v, t or "", n) for t in texts]
+            got = encode_all(v, [t or "" for t in part.column(text_col).to_pylist()], n)
             sizes = np.array([len(g[0]) for g in got], np.int64)
             flat = np.concatenate([g[0] for g in got]) if got else np.zeros(0, np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat, pa.int32()))
             columns = [*part.columns, lists, pa.array(sizes), pa.array([g[1] for g in got], pa.float64()), _alternatives([g[2] for g in got])]
             yield pa.record_batch(columns, [*part.schema.names, "input_ids", "n_tokens", "score", "nbest"])
+        v.forget()
 
     return in_batches(slim, run, schema)
 
