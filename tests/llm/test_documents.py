@@ -319,3 +319,18 @@ def test_sketches_make_their_words_once(spark):
     assert {r.row: r.sketch for r in made.collect()} == {i: slow_sketch(t) for i, t in enumerate(texts)}
     plan = lines.sketches(docs, "text", F.col("doc_id"))._jdf.queryExecution().optimizedPlan().toString()
     assert "Filter" not in plan and plan.count("split(") == 1
+
+
+def test_texts_are_tidied_once_for_lines_and_sketches(spark):
+    """Lines exploded by the inner form were filtered by what makes them, so each text was masked and hashed twice, and once more for its sketch."""
+    rng = random.Random(32)
+    texts = [None, "", " \n\t \r", "\n\na1  b\t\n \n c", "x\n\nx\n", "one"]
+    texts += ["\n".join(sentence(rng, 20) + rng.choice(["", " ", " 7z", "  k"]) for _ in range(9)) for _ in range(5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = lines.line_rows(docs, "doc_id", "text", F.col("doc_id"))
+    rows = made.collect()
+    full = {i: [k for k, line in enumerate((t or "").split("\n")) if line.strip(" \t\r")] for i, t in enumerate(texts)}
+    assert sorted((r.row, r.pos, r.own) for r in rows) == [(i, k, len(ks)) for i, ks in full.items() for k in ks]
+    assert {(r.row, r.pos): r.sketch for r in rows if r.sketch} == {(i, full[i][0]): slow_sketch(t) for i, t in enumerate(texts) if full[i]}
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1 and plan.count("<*>") == 1 and plan.count("Relation") + plan.count("LogicalRDD") == 1

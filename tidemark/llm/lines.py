@@ -36,26 +36,47 @@ def masked(text: Column) -> Column:
 
 def tidied(text: Column) -> Column:
     """The text with single blanks between the tokens of a line and none around them."""
-    single = F.regexp_replace(blanks(text, "\t", "\r"), "  +", " ")
+    single = F.when(F.contains(text, F.lit("  ")), F.regexp_replace(text, "  +", " ")).otherwise(text)
     return F.trim(F.replace(F.replace(single, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n")))
 
 
+def sketches(docs: DataFrame, text_col: str, key: Column, *others: Column) -> DataFrame:
+    """(row, others, tidy, sketch): the masked text and the least hashes of its runs of words, null for a blank document.
+
+    No filter on what is made here: Spark would put it below the projections
+    and make the words a second time for it.
+    """
+    # Each step is a projection of its own: inside a lambda a text would be tidied word by word, and again for every use.
+    plain = docs.select(key.alias("row"), *others, blanks(F.col(text_col), "\t", "\r").alias("tidy"))
+    names = [c for c in plain.columns if c != "tidy"]
+    tidy = plain.select(*names, tidied(F.col("tidy")).alias("tidy")).select(*names, masked(F.col("tidy")).alias("tidy"))
+    hashes = F.transform(F.split(blanks(F.col("tidy"), "\n"), " "), lambda w: F.xxhash64(w))
+    hashed = tidy.select(*names, "tidy", F.array_remove(hashes, F.xxhash64(F.lit(""))).alias("w"))  # without what stands on a blank line
+    runs = F.transform("w", lambda w, i: F.xxhash64(w, *[F.get("w", i + k) for k in range(1, WORDS)]))
+    runs = F.slice(runs, 1, F.greatest(F.size("w") - WORDS + 1, F.lit(1)))  # the last ones reach over the end
+    runs = F.when(F.size("w") < WORDS, F.array(F.xxhash64("w"))).otherwise(runs)
+    return hashed.select(*names, "tidy", F.when(F.size("w") > 0, F.slice(F.sort_array(F.array_distinct(runs)), 1, SKETCH)).alias("sketch"))
+
+
 def line_rows(docs: DataFrame, id_col: str, text_col: str, key: Column) -> DataFrame:
-    """(row, id, own, doc, pos, line, leaf, rest) of every line that is not blank; ``own`` is how many the row has.
+    """(row, id, own, pos, line, leaf, rest, sketch) of every line that is not blank; ``own`` is how many the row has.
 
     ``line`` identifies the masked line, ``leaf`` its token count and leading
-    tokens, ``rest`` the hashed segments of its other tokens. ``doc`` is the
-    smallest hash of the document's lines, so that copies share it mostly.
+    tokens, ``rest`` the hashed segments of its other tokens. The first line
+    that is not blank has the row's sketch, so that texts are read, tidied and
+    masked once for both.
     """
-    # Whole texts are tidied and masked, each in a projection of its own: inside a lambda both would run line by line, and again for every use.
-    tidy = docs.select(key.alias("row"), F.col(id_col).alias("id"), tidied(F.coalesce(F.col(text_col), F.lit(""))).alias("tidy"))
-    hashes = F.transform("lines", lambda m: F.md5(m.cast("binary")))
-    per_doc = tidy.select("row", "id", F.split(masked(F.col("tidy")), "\n", -1).alias("lines")).select("row", "id", "lines", hashes.alias("hashes"))
-    least = F.array_min(F.array_remove("hashes", "d41d8cd98f00b204e9800998ecf8427e"))  # that of a blank line
-    own = F.size(F.filter("lines", lambda m: m != ""))
-    rows = per_doc.select("row", "id", own.alias("own"), least.alias("doc"), F.posexplode(F.arrays_zip("lines", "hashes")).alias("pos", "it")).filter("it.lines <> ''")
+    made = sketches(docs, text_col, key, F.col(id_col).alias("id"))
+    per_doc = made.select("row", "id", "sketch", F.split("tidy", "\n", -1).alias("lines"))
+    full = F.transform("lines", lambda m: m != "")
+    per_doc = per_doc.select("row", "id", "sketch", "lines", F.transform("lines", lambda m: F.md5(m.cast("binary"))).alias("hashes"), full.alias("full"))
+    own, first = F.size(F.filter("full", lambda x: x)), F.array_position("full", True) - 1
+    per_doc = per_doc.select("row", "id", "sketch", own.alias("own"), first.alias("first"), F.arrays_zip("lines", "hashes").alias("its"))
+    # The outer form, as Spark filters the input of the other one by what it explodes, and makes that twice.
+    rows = per_doc.select("row", "id", "sketch", "own", "first", F.posexplode_outer("its").alias("pos", "it")).filter("it.lines <> ''")
     tokens = F.split(F.col("it.lines"), " ")
-    rows = rows.select("row", "id", "own", F.xxhash64("doc").alias("doc"), "pos", F.unhex("it.hashes").alias("line"), tokens.alias("tokens"))
+    sketch = F.when(F.col("pos") == F.col("first"), F.col("sketch"))
+    rows = rows.select("row", "id", "own", "pos", F.unhex("it.hashes").alias("line"), tokens.alias("tokens"), sketch.alias("sketch"))
     count = F.size("tokens")
     tail = F.greatest(count - LEAD, F.lit(0))
     segments = []
@@ -63,7 +84,7 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, key: Column) -> DataF
         begin, end = F.floor(tail * i / SEGMENTS).cast("int"), F.floor(tail * (i + 1) / SEGMENTS).cast("int")
         segments.append(F.when(end > begin, F.hash(F.array_join(F.slice("tokens", begin + LEAD + 1, end - begin), " "))))
     leaf = F.xxhash64(count, F.array_join(F.slice("tokens", 1, LEAD), " "))
-    return rows.select("row", "id", "own", "doc", "pos", "line", leaf.alias("leaf"), F.array(*segments).alias("rest"))
+    return rows.select("row", "id", "own", "pos", "line", leaf.alias("leaf"), F.array(*segments).alias("rest"), "sketch")
 
 
 def templates(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -103,31 +124,15 @@ def leaf_templates(rows: DataFrame, of: DataFrame, scratch: Scratch) -> DataFram
     return out
 
 
-def sketches(docs: DataFrame, text_col: str, key: Column) -> DataFrame:
-    """(row, sketch): the least hashes of a document's runs of words, null for a blank document.
-
-    No filter on what is made here: Spark would put it below the projections
-    and make the words a second time for it.
-    """
-    tidy = docs.select(key.alias("row"), blanks(F.col(text_col), "\n", "\t", "\r").alias("tidy")).select("row", masked(F.col("tidy")).alias("tidy"))
-    hashes = F.transform(F.split("tidy", " "), lambda w: F.xxhash64(w))
-    hashed = tidy.select("row", F.array_remove(hashes, F.xxhash64(F.lit(""))).alias("w"))  # without what stands between two blanks
-    shifted = [F.slice("w", i + 1, 1 << 30).alias(f"w{i}") for i in range(1, WORDS)]
-    runs = F.transform(F.arrays_zip(F.col("w").alias("w0"), *shifted), lambda r: F.xxhash64(r))
-    runs = F.slice(runs, 1, F.greatest(F.size("w") - WORDS + 1, F.lit(1)))  # the last ones reach over the end
-    runs = F.when(F.size("w") < WORDS, F.array(F.xxhash64("w"))).otherwise(runs)
-    return hashed.select("row", F.when(F.size("w") > 0, F.slice(F.sort_array(F.array_distinct(runs)), 1, SKETCH)).alias("sketch"))
-
-
-def families(docs: DataFrame, text_col: str, key: Column, scratch: Scratch) -> DataFrame:
-    """(row, doc): documents that are near copies of each other, also by way of others, share ``doc``.
+def families(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(row, doc) of the sketches in ``rows``: documents that are near copies of each other, also by way of others, share ``doc``.
 
     Sketches that have one of their least hashes in common meet the first
     sketch with it, and are linked to it if enough of the least hashes of both
     together are in both. What few lines share is not enough, whichever they
     are, so documents with the same boilerplate stay apart.
     """
-    made = scratch.keep("sketches", sketches(docs, text_col, key).withColumn("doc", F.xxhash64("sketch"))).filter("sketch is not null")
+    made = rows.filter("sketch is not null").select("row", "sketch", F.xxhash64("sketch").alias("doc"))
     texts = scratch.keep("texts", made.groupBy("doc").agg(F.first("sketch").alias("sketch")))
     probed = texts.select("doc", F.explode(F.slice("sketch", 1, PROBES)).alias("probe"))
     # Each probe has two meeting points, so that one document does not decide for all with a common line.
@@ -141,7 +146,7 @@ def families(docs: DataFrame, text_col: str, key: Column, scratch: Scratch) -> D
     linked = components(scratch.keep("near", links), scratch)
     named = made.select("row", "doc").distinct().join(linked, F.col("doc") == F.col("node"), "left")
     out = scratch.keep("families", named.select("row", F.coalesce("component", "doc").alias("doc")))
-    scratch.drop("sketches", "texts", "first", "met", "near")
+    scratch.drop("texts", "first", "met", "near")
     return out
 
 
@@ -179,7 +184,7 @@ def _dedup(docs: DataFrame, id_col: str, text_col: str, min_docs: int, scratch:
     rows = scratch.keep("rows", line_rows(docs, id_col, text_col, key))
     of = scratch.keep("templates", templates(rows, scratch))
     of = leaf_templates(rows, of, scratch)
-    held = rows.select("line", "row").join(families(docs, text_col, key, scratch).hint("merge"), "row").select("line", "doc").distinct()
+    held = rows.select("line", "row").join(families(rows, scratch).hint("merge"), "row").select("line", "doc").distinct()
     counts = held.join(of, "line").groupBy("template").agg(F.count_distinct("doc").alias("docs"))
     frequent = counts.filter(F.col("docs") >= min_docs)
     widest = F.max_by("template", F.struct("docs", "template"))  # of those that a line fits
