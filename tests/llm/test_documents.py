@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, lines, secrets, simhash
+from tidemark.llm.common import Scratch
 
 ODD = [(1, None, "s"), (2, "", "s"), (3, "one", None), (None, "two words here and there", "s"), (4, "one", "t"), (4, "one", "t"), (5, " \n\t\n ", "u")]
 
@@ -334,3 +335,24 @@ def test_texts_are_tidied_once_for_lines_and_sketches(spark):
     assert {(r.row, r.pos): r.sketch for r in rows if r.sketch} == {(i, full[i][0]): slow_sketch(t) for i, t in enumerate(texts) if full[i]}
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("md5(") == 1 and plan.count("<*>") == 1 and plan.count("Relation") + plan.count("LogicalRDD") == 1
+
+
+def test_sketches_of_repeated_runs(spark):
+    """The least runs of a text that repeats itself are the same ones many times; then all runs are compared."""
+    rng = random.Random(33)
+    texts = [sentence(rng, 5) + " " + "to be or not " * 90 + sentence(rng, n) for n in (1, 40, 200)] + [(sentence(rng, 90) + " \n\t ") * 3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.row: r.sketch for r in lines.sketches(docs, "text", F.col("doc_id")).collect()} == {i: slow_sketch(t) for i, t in enumerate(texts)}
+
+
+def test_templates_that_are_too_rare_are_not_joined_with_documents(spark):
+    """Lines of one document each went through every join, though no template of theirs can be in five documents."""
+    rng = random.Random(34)
+    form = "the disk of {} was mounted read only by the host"
+    texts = ["\n".join([sentence(rng, 9), "shared by all of them", form.format(sentence(rng, 1)), sentence(rng, 11)]) for _ in range(6)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = lines.line_rows(docs, "doc_id", "text", F.col("doc_id")).cache()
+    found = {bytes(r.line) for r in lines.candidates(rows, 5, Scratch(spark, "lines")).collect()}
+    want = {hashlib.md5(t.split("\n")[k].encode()).digest() for t in texts for k in (1, 2)}
+    assert found == want and len(want) == 7
+    assert {r.n_dropped for r in lines.dedup_lines(docs).collect()} == {2}
