@@ -127,6 +127,20 @@ def test_linkage_by_rounds_follows_the_sequential_tree(spark, wide, monkeypatch,
     assert cl.hierarchical(df, 6, kind).toPandas().sort_values("id").cluster.tolist() == here
 
 
+@pytest.mark.parametrize("kind,metric,limits", [("average", "euclidean", {}), ("average", "euclidean", {"pairs": 500}), ("complete", "manhattan", {"pairs": 500}), ("average", "cosine", {"pairs": 500})])
+def test_linkage_of_a_chain_measures_all_pairs_few_times(spark, monkeypatch, kind, metric, limits):
+    rng = np.random.default_rng(4)
+    chain = np.cumsum(1.0 + 0.01 * np.arange(120))[:, None] * [1.0, 0.5, 0.0, 0.2] + rng.normal(0, 0.01, (120, 4))  # one reciprocal pair at a time
+    x = np.concatenate([chain, rng.normal(30, 20, (60, 4)), np.tile(chain[7], (9, 1)), np.zeros((2, 4))])
+    df = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "id long, x array<double>")
+    names, write = [], linkage.materialise
+    monkeypatch.setattr(linkage, "materialise", lambda df, name="step": names.append(name) or write(df, name))
+    _, merges = linkage.linked_merges(df, kind, metric, block=90, last=25, **limits)
+    got, want = merges.toPandas(), [h for _, _, h in cl.linkage_merges(x, kind, metric)]
+    assert np.allclose(np.sort(got.height), np.sort(want), rtol=1e-9, atol=1e-9) and got.absorbed.nunique() == len(x) - 1
+    assert sum(name in ("linked-nearest", "linked-pairs") for name in names) <= 10
+
+
 def test_silhouette_measures_each_pair_once(spark, wide, monkeypatch):
     df, x = wide
     seen = []
