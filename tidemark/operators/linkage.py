@@ -1,7 +1,8 @@
 """Ward, average and complete linkage of tables of any size.
 
-Ward linkage goes by rounds of reciprocal nearest neighbours. A cluster is one row (id, n, s): its size and the sum of its points, which is
-all Ward's criterion needs. Ward's criterion is reducible: clusters that are
+Ward linkage goes by rounds of reciprocal nearest neighbours. A cluster is one
+row (id, n, s): its size and the sum of its points, which is all Ward's
+criterion needs. Ward's criterion is reducible: clusters that are
 each other's nearest are merged by the sequential algorithm too, whatever it
 merges before, and no merge elsewhere brings anything closer to a cluster. So
 every such pair may be merged at once, in any order, with the same tree.
@@ -324,11 +325,16 @@ def _folded(d: np.ndarray, cuts: np.ndarray, ufunc: np.ufunc) -> np.ndarray:
         step += 1
 
 
-def _between(p: _Side, q: _Side, metric: str, average: bool) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Distances between clusters in tiles that stay in the processor's cache: first cluster of either side, and the distances."""
+def _between(p: _Side, q: _Side, metric: str, average: bool, upper: bool = False) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Distances between clusters in tiles that stay in the processor's cache: first cluster of either side, and the distances.
+
+    With ``upper``, tiles with no later cluster than their rows' are left out.
+    """
     ufunc, columns = (np.add if average else np.maximum), list(_pieces(q.starts, len(q.x), TILE))
     for at, to, rows in _pieces(p.starts, len(p.x), STRIP):
         for at_q, to_q, across in columns:
+            if upper and to_q <= at:
+                continue
             out = None
             for top, below in rows:
                 for left, right in across:
@@ -355,11 +361,11 @@ def _all_between(p: _Side, q: _Side, metric: str, average: bool) -> np.ndarray:
     return out
 
 
-def _near(p: _Side, q: _Side, limit: float, metric: str, average: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Clusters of both sides nearer than the limit, and their distances."""
+def _near(p: _Side, q: _Side, limit: float, metric: str, average: bool, alone: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Clusters of both sides nearer than the limit, and their distances; each pair once where the sides are the same."""
     single = metric in ("euclidean", "l2") and len(p.x) == len(p.ids) and len(q.x) == len(q.ids) and p.x.shape[1] > 2
     for s in strips(len(p.x)) if single else ():
-        for at in range(0, len(q.x), TILE):
+        for at in range(s.start // TILE * TILE if alone else 0, len(q.x), TILE):
             t = slice(at, at + TILE)
             rough = screened(p.x[s], q.x[t])
             if rough is None:
@@ -368,10 +374,14 @@ def _near(p: _Side, q: _Side, limit: float, metric: str, average: bool) -> Itera
                 square, error = rough
                 bound = np.minimum(limit * limit * (1 + 1e-9) + error, np.finfo("float32").max)
                 i, j = places(square <= np.nextafter(bound.astype("float32"), np.float32(np.inf))[:, None])
+            if alone:
+                i, j = i[i + s.start < j + at], j[i + s.start < j + at]
             d = pair_distances(p.x[s][i], q.x[t][j])
             yield i[d < limit] + s.start, j[d < limit] + at, d[d < limit]
-    for at, at_q, d in () if single else _between(p, q, metric, average):
+    for at, at_q, d in () if single else _between(p, q, metric, average, alone):
         i, j = places(d < limit)
+        stay = i + at < j + at_q if alone else slice(None)
+        i, j = i[stay], j[stay]
         yield i + at, j + at_q, d[i, j]
 
 
@@ -607,9 +617,8 @@ def linked_merges(
         def near(pdf: pd.DataFrame) -> pd.DataFrame:
             p, q, alone = sides(pdf)
             parts = [(np.zeros(0, dtype="int64"), np.zeros(0, dtype="int64"), np.zeros(0))]
-            for i, j, d in _near(p, q, limit, metric, average) if len(p.ids) and len(q.ids) else ():
-                stay = i < j if alone else slice(None)
-                parts.append((p.ids[i[stay]], q.ids[j[stay]], d[stay]))
+            for i, j, d in _near(p, q, limit, metric, average, alone) if len(p.ids) and len(q.ids) else ():
+                parts.append((p.ids[i], q.ids[j], d))
             u, v, d = (np.concatenate(part) for part in zip(*parts))
             return pd.DataFrame({"u": u, "v": v, "d": d})
 
